@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,8 +111,6 @@ class Codec:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the bounds of each text's there."""
-        import pyarrow.compute as pc
-
         texts = pc.fill_null(texts, "")
         odd = np.asarray(pc.match_substring_regex(texts, _ODD))
         cut = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
@@ -164,7 +163,7 @@ def codec(name: str) -> Codec:
 def slices(batch: pa.RecordBatch, column: str, most: int = 24_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of the column, one row at least: bounds what Python holds at once."""
     array = batch.column(batch.schema.get_field_index(column))
-    lengths = np.nan_to_num(np.asarray(pa.compute.fill_null(pa.compute.binary_length(array), 0)).astype("f8"))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(array), 0)).astype("f8")
     at, ends = 0, np.cumsum(lengths)
     while at < len(batch):
         base = ends[at - 1] if at else 0.0
@@ -180,8 +179,6 @@ def encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", *,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         c = codec(vocabulary)
         for whole in batches:
             for batch in slices(whole, "text"):

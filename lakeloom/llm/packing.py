@@ -94,7 +94,6 @@ def pieces(docs: DataFrame, *, limit: int = 1024, vocabulary: str = "byte_bpe_50
     """Of each piece: doc_id, piece, start, length, ids_crc32, the task it was made in and its number there among those of its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
         from pyspark import TaskContext
 
         c, end, task = codec(vocabulary), np.uint32(end_id).astype("<u4").tobytes(), TaskContext.get().partitionId()

@@ -12,6 +12,34 @@ from lakeloom.llm.common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.chat_format import format_conversations, read_back
+
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return read_back(format_conversations(rows.union(own)))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.media import PAD, sniff_column, store
+
+    stored = store(table(spark, sf_dir, "documents"))
+    found = sniff_column(stored, keep=("doc_id", "n_bytes"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr(f"substring(samples, -{PAD})")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        F.col("type").alias("media_type"),
+        F.size("embedded").alias("n_embedded"),
+    )
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.packing import pack
 
@@ -25,5 +53,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_best_fit_packing, op8_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op4_media_columns, op5_best_fit_packing, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}

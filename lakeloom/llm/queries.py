@@ -61,6 +61,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.withColumn("held_out", held_out), fit(docs.filter(~held_out)), keep=("doc_id", "held_out"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.quality import classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.byte_bpe import encode
 
@@ -68,7 +75,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op4_media_columns, op5_best_fit_packing, op6_language_id, op8_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
         WITH v AS (

@@ -28,6 +28,12 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.media import PAD, sniff_column, store
 
@@ -75,7 +81,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_ngram_jaccard_join, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
         WITH v AS (

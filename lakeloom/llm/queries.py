@@ -81,7 +81,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_ngram_jaccard_join, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_bucket(F.col("doc_id"), 5) == 0
+    # labels of a few columns' bytes a row; only those that fit() picks reach the texts
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = fit(docs.filter(~held_out).select("doc_id", "text").join(labels, "doc_id"))
+    found = score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_ngram_jaccard_join, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
         WITH v AS (

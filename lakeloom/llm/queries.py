@@ -81,6 +81,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeloom.llm.pii import digests, find
+
+    return digests(find(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeloom.llm.toxicity import fit, score
 
@@ -93,7 +99,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_ngram_jaccard_join, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_ngram_jaccard_join, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe, op9_pii, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": """
         WITH v AS (

@@ -1,29 +1,6 @@
-"""All relational queries by name, each with its SQL for comparison."""
+"""All relational queries by name, each with its SQL for comparison where SQL has one."""
 
-from __future__ import annotations
+from lakeloom.plans import aggregates, extension, joins, scalars, streams, windows  # noqa: F401
+from lakeloom.plans.base import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return lines.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-        F.round(F.sum(price), 2).alias("sum_disc_price"),
-        F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
-        F.count("*").alias("count_order"),
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pricing_summary": pricing_summary}
-ORACLE_SQL: dict[str, str] = {
-    "pricing_summary": """
-        SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-               round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-               round(avg(l_extendedprice), 4) AS avg_price, count(*) AS count_order
-        FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -111,7 +111,7 @@ def string_aggregate(t):
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1")
 def pivot(t):
-    return t.events.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("*")).fillna(0, ["click", "view"])
+    return t.events.groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.count("event_id")).fillna(0, ["click", "view"])
 
 
 @query("SELECT o_orderkey, 'status' AS field, o_orderstatus AS v FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders")

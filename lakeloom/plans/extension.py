@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeloom.plans.base import query
 from lakeloom.sources.tables import SequenceSource, read, write
@@ -87,7 +88,7 @@ def io_custom_source(t):
     return t.spark.read.format("sequence").option("end", 1000).option("parts", 4).load()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def with_tax(price: pd.Series, tax: pd.Series) -> pd.Series:
     return price * (1 + tax)
 
@@ -97,7 +98,7 @@ def udf_vectorised(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.round(F.sum(with_tax("l_extendedprice", "l_tax")), 2).alias("gross"))
 
 
-@F.udf("string", useArrow=True)
+@F.udf(T.StringType(), useArrow=True)
 def initials(name: str) -> str:
     return name[:1] + name[-1:]
 
@@ -107,7 +108,7 @@ def udf_arrow(t):
     return t.customer.select("c_custkey", initials("c_name").alias("i"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spread(x: pd.Series) -> float:
     return float(x.max() - x.min())
 
@@ -117,7 +118,7 @@ def udaf(t):
     return t.events.groupBy("event_type").agg(spread("value").alias("s"))
 
 
-@F.udtf(returnType="n_nationkey: int, k: int")
+@F.udtf(returnType=T.StructType().add("n_nationkey", T.IntegerType()).add("k", T.IntegerType()))
 class _Repeat:
     def eval(self, row: Row):
         for k in range(row["n_regionkey"] + 1):

@@ -7,8 +7,13 @@ from lakeloom.operators.sampling import bernoulli
 from lakeloom.operators.windows import top_n, unbounded
 from lakeloom.plans.base import query
 
-_BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
-_BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _by_customer():
+    return Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
+
+
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query(
@@ -19,7 +24,7 @@ _BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
 def window_ranks(t):
     v = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
     long = lambda c, name: c.cast("long").alias(name)
-    return t.orders.select("o_orderkey", long(F.row_number().over(_BY_CUSTOMER), "rn"), long(F.rank().over(v), "rk"), long(F.dense_rank().over(v), "dr"), long(F.ntile(4).over(_BY_CUSTOMER), "nt"))
+    return t.orders.select("o_orderkey", long(F.row_number().over(_by_customer()), "rn"), long(F.rank().over(v), "rk"), long(F.dense_rank().over(v), "dr"), long(F.ntile(4).over(_by_customer()), "nt"))
 
 
 @query("SELECT o_orderkey, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice)")
@@ -30,7 +35,7 @@ def window_distribution(t):
 
 @query("SELECT event_id, lag(event_id, 1, -1) OVER w AS before, lead(event_id, 2, -1) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def window_offsets(t):
-    return t.events.select("event_id", F.lag("event_id", 1, -1).over(_BY_USER).alias("before"), F.lead("event_id", 2, -1).over(_BY_USER).alias("after"))
+    return t.events.select("event_id", F.lag("event_id", 1, -1).over(_by_user()).alias("before"), F.lead("event_id", 2, -1).over(_by_user()).alias("after"))
 
 
 @query(
@@ -45,7 +50,7 @@ def window_values(t):
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS s3 FROM events")
 def window_rows_frame(t):
-    return t.events.select("event_id", F.round(F.sum("value").over(_BY_USER.rowsBetween(-2, 0)), 4).alias("s3"))
+    return t.events.select("event_id", F.round(F.sum("value").over(_by_user().rowsBetween(-2, 0)), 4).alias("s3"))
 
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_events FROM events")

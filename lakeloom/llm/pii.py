@@ -151,17 +151,24 @@ def terms(found: DataFrame, docs: DataFrame, *, text_col: str = "text", support:
     once = near.select("entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
     pairs = materialise(once.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support), "pairs")
     nothing = near.select("doc_id", "text_key", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("value")).filter(F.lit(False))
-    n = pairs.count()
-    if not n:
+    if pairs.isEmpty():
         return nothing
     n_e = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     text = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.select(F.xxhash64(text).alias("text_key")).distinct().count()
+    # A term in more texts than `most` can't reach the threshold. The texts in whose contexts it stands are known already,
+    # and already too many for common words: only what is left is counted over the corpus.
+    least = near.select("text_key", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("least"))
+    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - threshold))
+    pairs = materialise(pairs.join(n_e, "entity").join(least, "term").filter((F.col("n_e") < total) & (F.col("least") <= most + 1e-6)).drop("least"), "pairs")
+    n = pairs.count()
+    if not n:
+        return nothing
     asked = _bounded(pairs.select("term").distinct(), n)
     words = docs.select(F.xxhash64(text).alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD % MIN_LETTERS), F.lit(0)))).alias("term"))
     n_t = words.join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select(F.xxhash64(text).alias("text_key")).distinct().count()
     ratio = F.log2(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(total / F.col("n_e"))
-    disclosing = materialise(pairs.join(n_e, "entity").join(n_t, "term").filter((F.col("n_e") < total) & (ratio >= threshold)).select("entity", "term"), "disclosing")
+    disclosing = materialise(pairs.join(n_t, "term").filter(ratio >= threshold).select("entity", "term"), "disclosing")
     n = disclosing.count()
     if not n:
         return nothing

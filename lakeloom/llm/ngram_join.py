@@ -3,22 +3,25 @@
 A document is the set of its distinct shingles (`words` words in a row). Two link if their Jaccard similarity is at least
 `share`. Documents with equal sets are one class, found by a 128-bit digest and stood for by its smallest doc_id.
 
-Prefixes. Order all shingles of the corpus from rare to frequent (then by hash). A set of n shingles can only link with
-sets that share at least t = ceil(share * n) of its shingles, so q = n - t + 1 of its first shingles, its prefix, must
-hold one that the other set's prefix has as well. Rare shingles (in fewer than FREQUENT documents) are indexed singly.
-Frequent ones form groups by hash, and k of a group are indexed together (k = 2, from VERY_FREQUENT on 3): as up to k - 1
-shared shingles of a group then go unseen, the prefix is extended until it holds q shingles beyond the first k - 1 of
-each group. How many groups there are depends on the smaller set's size class, so that a set never runs out: its groups'
-(k - 1) add up to less than t; a set makes combinations for each size class that a partner's can be.
+Prefixes. Order all shingles of the corpus from rare to frequent (then by hash). Sets of m and n shingles can only link
+if they have t = share / (1 + share) * (m + n) in common, so of n - t + 1 first shingles of one, its prefix, the other's
+prefix must hold one as well. Sizes fall into bands, and a set is indexed once for each band that a partner's size can be
+in, with the prefix for that band's smallest size: similar sizes need short prefixes. Rare shingles (in fewer than
+FREQUENT documents) are indexed singly. Frequent ones form groups by hash, and k of a group are indexed together (k = 2,
+from VERY_FREQUENT on 3): as up to k - 1 shared shingles of a group then go unseen, the prefix is extended until it holds
+n - t + 1 shingles beyond the first k - 1 of each group. The groups' (k - 1) add up to less than t, so a set never runs
+out.
 
 1. profile: a row per document: set size and digest.
 2. Every task sends its shingles, packed, to the hash partitions of the shingles, which count in how many documents each
    occurs and send back those in two or more. A shingle of one document never links, so a document in which q or more
    occur nowhere else is done with. What is left is a table of sets, reduced to their shared shingles.
-3. These sets' prefixes are indexed. In each entry, the sets are checked against the first; those found similar become
-   one component. Entries that still hold several components are checked against more of their sets, 16, 64, 256, ...
-   until all pairs of sets in different components were checked. So a group of near copies costs a check each, not a
-   check a pair, and no link between components is missed.
+3. These sets' prefixes are indexed. In each entry all sets are checked against one, the hub: the one whose shingles are
+   most frequent, as an original among its edited copies. So a group of copies costs a check each, not one a pair. Two
+   sets of an entry that don't both link with the hub can only link if they share a shingle outside the hub, unless both
+   share more with it than they need in common with each other. Pairs of the latter kind are checked. For the former,
+   what each set has outside the hub is indexed under the hub and the shingle, and all pairs of such an entry that are in
+   different components are checked, for its first 16 sets, then 64, 256, ... No link between components is missed.
 4. A check intersects the two sets of shared shingles; sets travel to the checks, in groups of GROUP per first set.
 
 Shingles are hashed to 64 bits, of which 48 (and the partition) are compared. Lower case of A-Z only, words between
@@ -47,6 +50,8 @@ from lakeloom.llm.langid import mix
 
 #: Documents from which on a shingle is indexed in pairs, and in threes.
 FREQUENT, VERY_FREQUENT = 32, 1024
+#: Between the smallest sizes of neighbouring bands.
+RATIO = 1.05
 #: Shingles in one batch that a task sends; shingles that a partition of them may get; sets checked with one first set.
 BATCH, PARTITION, GROUP = 1_500_000, 6_000_000, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -219,30 +224,52 @@ _SETS_ARROW = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.
 # --- prefixes ---
 
 
-def groups(size_class: int, share: tuple[int, int]) -> tuple[int, int]:
-    """How many groups of pairs and of threes sets of 2 ** size_class shingles and more use."""
-    least = 1 << size_class
+def band(n: int) -> int:
+    """The size band of a set."""
+    return int(np.log(n) / np.log(RATIO) + 1e-9)
+
+
+def smallest(b: int) -> int:
+    """The smallest size in a band."""
+    n = max(1, int(RATIO**b) - 1)
+    while band(n) < b:
+        n += 1
+    return n
+
+
+def common(m: int, n: int, share: tuple[int, int]) -> int:
+    """How many shingles sets of m and n have in common at least if they link."""
+    return -(-share[0] * (m + n) // (share[0] + share[1]))
+
+
+def groups(least: int) -> tuple[int, int]:
+    """How many groups of pairs and of threes there are for sets that have `least` shingles in common: their k - 1 add up
+    to less than that."""
     twos, threes = max(1, least // 8), least // 16
-    return (twos, threes) if twos + 2 * threes < needed(least, share) else (1, 0) if needed(least, share) > 1 else (0, 0)
+    return (twos, threes) if twos + 2 * threes < least else (1, 0) if least > 1 else (0, 0)
 
 
 def signatures(n: int, shared: np.ndarray, level: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     """The hashes under which a set is indexed. shared: its shingles that other documents have, rare ones first."""
-    q = n - needed(n, share) + 1
-    alone = n - len(shared)
+    alone, own = n - len(shared), band(n)
     tokens = shared.tolist()
     frequent, very = int(np.searchsorted(level, 8 * np.log2(FREQUENT))), int(np.searchsorted(level, 8 * np.log2(VERY_FREQUENT)))
     spread = mix(shared.astype(np.uint64)).tolist()
     out: set[int] = set()
-    for c in range(needed(n, share).bit_length() - 1, n.bit_length()):
-        twos, threes = groups(c, share)
+    for other in range(band(-(-share[0] * n // share[1])), band(share[1] * n // share[0]) + 1):
+        low = smallest(other)
+        q = n - common(n, max(low, -(-share[0] * n // share[1])), share) + 1
+        if alone >= q:
+            continue
+        bands = (min(own, other), max(own, other))
+        twos, threes = groups(common(smallest(own), low, share))
         held: dict[tuple[int, int], list[int]] = {}
         got = alone
         for k, token in enumerate(tokens):
             if got >= q:
                 break
             if k < frequent or not twos:
-                out.add(token)
+                out.add(hash((bands, token)))
                 got += 1
                 continue
             size = 3 if k >= very and threes else 2
@@ -251,17 +278,24 @@ def signatures(n: int, shared: np.ndarray, level: np.ndarray, share: tuple[int,
             group.append(token)
         for (size, g), members in held.items():
             # in the order of all shingles on either side
-            out.update(hash((c, size, g, *some)) for some in combinations(members, size))
+            out.update(hash((bands, size, g, *some)) for some in combinations(members, size))
     return np.array(sorted(out), np.int64)
 
 
+_INDEX = "signature long, rarity long, node long, n long, m long"
+
+
 def _index(share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, n, shared, level in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                found = signatures(n, np.frombuffer(shared, "<i8"), np.frombuffer(level, np.uint8), share)
+                levels = np.frombuffer(level, np.uint8)
+                found = signatures(n, np.frombuffer(shared, "<i8"), levels, share)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), node)), pa.array(np.full(len(found), n))], ["signature", "node", "n"])
+                    # originals have only shingles that many others have
+                    rarity = 255 * n - int(levels.sum(dtype=np.int64))
+                    same = (pa.array(np.full(len(found), x)) for x in (rarity, node, n, len(levels)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found), *same], ["signature", "rarity", "node", "n", "m"])
 
     return run
 
@@ -269,13 +303,80 @@ def _index(share: tuple[int, int]):
 # --- pairs and checks ---
 
 
+_HUBS = "signature long, hub long, node long, n long, m long"
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From _INDEX, sorted by signature, rarity, node: every other row of an entry with the entry's first node, its hub."""
+    now = hub = None
+    for batch in batches:
+        signature, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        first = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+        hubs = np.repeat(node[first], np.diff(np.append(first, len(signature))))
+        if now is not None and signature[0] == now:
+            hubs[: first[1] if len(first) > 1 else len(hubs)] = hub
+        now, hub = signature[-1], hubs[-1]
+        kept = pa.array(hubs != node)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hubs), *(batch.column(k) for k in (2, 3, 4))], ["signature", "hub", "node", "n", "m"]).filter(kept)
+
+
+def _links(share: tuple[int, int], m: np.ndarray | int, n: np.ndarray | int, both: np.ndarray | int) -> np.ndarray | bool:
+    """Whether sets of m and n with so many common shingles link."""
+    return (share[0] + share[1]) * both >= share[0] * (m + n)
+
+
+def _uncovered(share: tuple[int, int]):
+    """From (signature, node, n, common, component), sorted by signature, where common is what the node shares with the
+    entry's hub: the pairs that may link without sharing a shingle outside the hub."""
+
+    def of(rows: list[tuple[np.ndarray, ...]]) -> set[tuple[int, int]]:
+        node, n, common_, component = (np.concatenate(x) for x in zip(*rows))
+        if (component == component[0]).all():
+            return set()
+        # most shared first: a pair needs both
+        order = np.argsort(-common_, kind="stable")
+        node, n, common_, component = node[order], n[order], common_[order], component[order]
+        out = set()
+        for i in range(1, len(node)):
+            # what the i-th shares bounds what it has in common with those before it, inside the hub
+            at = np.flatnonzero(_links(share, n[:i], n[i], common_[i]) & (component[:i] != component[i]) & (node[:i] != node[i]))
+            out.update((min(a, b), max(a, b)) for a, b in zip(node[at].tolist(), [int(node[i])] * len(at)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, seen = None, [], set()
+
+        def out() -> pa.RecordBatch:
+            found = list(seen)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            signature, *rest = (batch.column(k).to_numpy() for k in range(5))
+            first = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+            for a, b in zip(first, np.append(first[1:], len(signature))):
+                if signature[a] != now:
+                    if rows:
+                        seen |= of(rows)
+                    now, rows = signature[a], []
+                rows.append(tuple(x[a:b] for x in rest))
+            if len(seen) > 200_000:
+                yield out()
+        if rows:
+            seen |= of(rows)
+        if seen:
+            yield out()
+
+    return run
+
+
 def _pairs(first: int, last: int, share: tuple[int, int]):
-    """From (signature, node, n, component), sorted by the first two, pairs of sets in different components of which one
-    is among the sets number first to last of an entry. (null, null) says that some entry needs more."""
+    """From (signature, node, n, m, component), sorted by the first two, pairs of sets in different components of which
+    one is among the sets number first to last of an entry. (null, null) says that some entry needs more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, place, mixed = None, 0, False
-        heads: list[tuple[int, int, int]] = []
+        now, place, mixed, lead = None, 0, False, None
+        heads: list[tuple[int, int, int, int]] = []
         seen: set[tuple[int | None, int | None]] = set()
         more = False
 
@@ -285,15 +386,16 @@ def _pairs(first: int, last: int, share: tuple[int, int]):
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for signature, node, n, component in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for signature, node, n, m, component in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if signature != now:
                     now, place, heads, lead, mixed = signature, 0, [], component, False
                 mixed |= component != lead
-                for a, m, other in heads:
-                    if other != component and a != node and share[0] * max(m, n) <= share[1] * min(m, n):
-                        seen.add((a, node))
+                # no more than its shared shingles can be common
+                for a, size, most, other in heads:
+                    if other != component and a != node and _links(share, size, n, min(most, m)):
+                        seen.add((min(a, node), max(a, node)))
                 if first <= place < last:
-                    heads.append((node, n, component))
+                    heads.append((node, n, m, component))
                 more |= mixed and place > last
                 place += 1
                 if len(seen) > 200_000:
@@ -306,13 +408,17 @@ def _pairs(first: int, last: int, share: tuple[int, int]):
     return run
 
 
-def _check(share: tuple[int, int]):
-    """From (a, chunk, b, n, shared), where the row with null b is that of a itself and comes first: the links."""
+_CHECKED = "a long, b long, n long, m long, common long, link boolean, outside array<long>"
+
+
+def _check(share: tuple[int, int], outside: bool):
+    """From (a, chunk, b, n, shared), where the row with null b is that of a itself and comes first: what b has in common
+    with a, whether they link, and, if asked for, b's shared shingles outside a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine = None, []
         for batch in batches:
-            links = []
+            rows = []
             for a, chunk, b, n, shared in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 shared = np.frombuffer(shared, "<i8")
                 if (a, chunk) != key:
@@ -320,27 +426,31 @@ def _check(share: tuple[int, int]):
                 if b is None:
                     mine.append((n, np.sort(shared)))
                     continue
-                for m, own in mine:
-                    at = np.searchsorted(own, shared)
-                    common = int((own[np.minimum(at, len(own) - 1)] == shared).sum()) if len(own) else 0
-                    if share[1] * common >= share[0] * (m + n - common):
-                        links.append((a, b))
-                        break
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+                for size, own in mine:
+                    inside = own[np.minimum(np.searchsorted(own, shared), len(own) - 1)] == shared
+                    both = int(inside.sum())
+                    rows.append((a, b, n, len(shared), both, _links(share, size, n, both), shared[~inside] if outside else None))
+            if rows:
+                kinds = (*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], ["a", "b", "n", "m", "common", "link", "outside"])
 
     return run
 
 
-def checked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Of the pairs (a, b) those that link."""
+def checked(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], outside: bool = False) -> DataFrame:
+    """The pairs (a, b), each with what its check gives."""
     n = partitions(pairs.sparkSession)
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     split = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / GROUP)).alias("chunk"))
     other = split.join(sets.select(F.col("node").alias("b"), "n", "shared"), "b").select("a", "chunk", "b", "n", "shared")
     own = split.select("a", "chunk").distinct().join(sets.select(F.col("node").alias("a"), "n", "shared"), "a")
     rows = other.unionAll(own.select("a", "chunk", F.lit(None).cast("long").alias("b"), "n", "shared"))
-    return rows.repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b")).mapInArrow(_check(share), "a long, b long")
+    return rows.repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b")).mapInArrow(_check(share, outside), _CHECKED)
+
+
+def _named(df: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """df with the components so far."""
+    return df.join(found, "node", "left").select(*columns, F.coalesce("component", "node").alias("component"))
 
 
 def join(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -351,27 +461,41 @@ def join(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (3, 4)) ->
     reducers = max(parts, -(-total // PARTITION))
     classes = known.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     classes = materialise(classes, "classes")
+    # a doc_id that repeats with other texts is in several classes, which it links
+    placed = known.join(classes, ["d1", "d2"]).filter("doc_id is not null").select("doc_id", "first")
+    firsts = materialise(placed.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("first").alias("last")), "firsts")
+    own = placed.join(firsts.filter("first < last").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     sent = documents(docs).mapInArrow(_sender(words, reducers), _SENT)
     back = sent.repartition(reducers, "r").groupBy("r").applyInArrow(_count, _SENT)
     sets = back.repartition(reducers, "batch").groupBy("batch").applyInArrow(_sets(share), "node long, n long, shared binary, level binary")
     sets = materialise(sets.join(classes.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), "sets")
 
-    index = materialise(sets.mapInArrow(_index(share), "signature long, node long, n long"), "index")
-    links, found, first, last = None, None, 0, 1
+    index = materialise(sets.mapInArrow(_index(share), _INDEX), "index")
+    sort = lambda df, *more: df.repartition(parts, "signature").sortWithinPartitions("signature", *more)
+    hubs = materialise(sort(index, "rarity", "node").mapInArrow(_hubs, _HUBS), "hubs")
+    near = materialise(checked(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, share, outside=True), "near")
+    links = near.filter("link").select("a", "b").unionAll(own)
+    found = components(links)
+
+    known_common = near.groupBy(F.col("a").alias("hub"), F.col("b").alias("node")).agg(F.max("common").alias("common"))
+    rows = _named(hubs.join(known_common, ["hub", "node"]), found, "signature", "node", "n", "common")
+    uncovered = sort(rows).mapInArrow(_uncovered(share), "a long, b long").distinct()
+    # what is outside a hub becomes an entry of its own, with the hub
+    outside = near.select(F.col("b").alias("node"), "n", "m", F.explode("outside").alias("token"), "a").select(F.xxhash64("a", "token").alias("signature"), "node", "n", "m").distinct()
+    outside = materialise(outside, "outside")
+
+    first, last = 0, 16
     while True:
-        if found is None:
-            entries = index.withColumn("component", F.col("node"))
-        else:
-            entries = index.join(found, "node", "left").select("signature", "node", "n", F.coalesce("component", "node").alias("component"))
-        entries = entries.repartition(parts, "signature").sortWithinPartitions("signature", "node")
-        pairs = materialise(entries.mapInArrow(_pairs(first, last, share), "a long, b long").distinct(), "pairs")
-        fresh = materialise(checked(pairs.filter("a is not null"), sets, share), "checked")
-        links = fresh if links is None else links.unionAll(fresh)
-        found = components(links)
+        pairs = sort(_named(outside, found, "signature", "node", "n", "m"), "node").mapInArrow(_pairs(first, last, share), "a long, b long").distinct()
+        pairs = materialise(pairs if first else pairs.unionAll(uncovered).distinct(), "pairs")
+        fresh = materialise(checked(pairs.filter("a is not null"), sets, share).filter("link").select("a", "b"), "checked")
+        if not fresh.isEmpty():
+            links = links.unionAll(fresh)
+            found = components(links)
         if pairs.filter("a is null").isEmpty():
             break
-        first, last = last, 16 if last == 1 else 4 * last
+        first, last = last, 4 * last
 
-    named = known.join(classes, ["d1", "d2"], "left").join(found.select(F.col("node").alias("first"), "component"), "first", "left")
+    named = known.join(firsts.select("doc_id", "first"), "doc_id", "left").join(found.select(F.col("node").alias("first"), "component"), "first", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id")).alias("component_id"))

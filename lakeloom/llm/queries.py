@@ -92,15 +92,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held_out = id_bucket(F.col("doc_id"), 5) == 0
-    # labels of a few columns' bytes a row; only those that fit() picks reach the texts
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = fit(docs.filter(~held_out).select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
     found = score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_format, op2_exact_topk, op3_ngram_jaccard_join, op4_media_columns, op5_best_fit_packing, op6_language_id, op7_quality_classifier, op8_byte_bpe, op9_pii, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v(a, b, c, d)
+        ), e AS (
+            -- each backslash, end mark and # that two more follow has a backslash before it; in roles also each colon
+            SELECT *, length(x) - length(replace(x, '\', '')) + (length(x) - length(replace(x, '</turn>', ''))) // 7
+                      + coalesce(list_sum(list_transform(regexp_extract_all(x, '###+'), lambda r: length(r) - 2)), 0)
+                      + length(role) - length(replace(role, ':', '')) AS escapes
+            FROM (SELECT *, role || chr(10) || text AS x FROM c)
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('### : </turn>') + 1 + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), g AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+            FROM w
+        ), s AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+        l AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), r(d, m) AS (SELECT doc_id, doc_id FROM g UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.d)
+        SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, c.m AS component_id
+        FROM g JOIN (SELECT d, min(m) AS m FROM r GROUP BY d) c ON c.d = g.doc_id""",
     "op2_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings

@@ -143,4 +143,58 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         ) WHERE rank <= 20""",
+    "op9_pii": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        texts AS (SELECT DISTINCT t FROM d),
+        m AS (
+            SELECT t, 'email' AS kind, 0 AS o, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS v,
+                   regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM texts
+            UNION ALL SELECT t, 'ip', 1, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), regexp_split_to_array(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM texts
+            UNION ALL SELECT t, 'card', 2, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), regexp_split_to_array(t, '[0-9]([\x20-]?[0-9])+') FROM texts
+            UNION ALL SELECT t, 'phone', 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM texts
+        ), p AS (
+            SELECT t, kind, o, v[i] AS val, regexp_replace(v[i], '[^0-9]', '', 'g') AS digits,
+                   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS s
+            FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m)
+        ), b AS (
+            SELECT t, kind, o, val, CAST(s AS BIGINT) AS s, CAST(s + length(val) AS BIGINT) AS e FROM p
+            WHERE CASE kind
+                WHEN 'email' THEN true
+                WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+                WHEN 'ip' THEN len(list_filter(string_split(val, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INTEGER) > 255)) = 0
+                ELSE length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda k:
+                    CASE WHEN k % 2 = 1 THEN CAST(reverse(digits)[k] AS INTEGER)
+                         ELSE 2 * CAST(reverse(digits)[k] AS INTEGER) - 9 * CAST(CAST(reverse(digits)[k] AS INTEGER) > 4 AS INTEGER) END)) % 10 = 0 END
+        ), c AS (
+            SELECT t, kind || ':' || lower(val) AS entity, greatest(0, s - 80) AS lf, e AS rf,
+                   substring(t, greatest(0, s - 80) + 1, s - greatest(0, s - 80)) AS l, substring(t, e + 1, 80) AS r FROM b
+        ), sides AS (
+            SELECT t, entity, l, r, lf AS off, l AS x, lf > 0 AS cut_first, false AS cut_last FROM c
+            UNION ALL SELECT t, entity, l, r, rf, r, false, length(r) = 80 FROM c
+        ), w AS (
+            SELECT t, entity, l, r, off, x, cut_first, cut_last, v[i] AS word,
+                   list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda y: length(y))), 0) AS s
+            FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM (SELECT *, regexp_extract_all(x, '[\p{L}\p{N}]+') AS v, regexp_split_to_array(x, '[\p{L}\p{N}]+') AS g FROM sides))
+        ), near AS (
+            SELECT t, entity, l, r, lower(word) AS term, CAST(off + s AS BIGINT) AS s, CAST(off + s + length(word) AS BIGINT) AS e FROM w
+            WHERE regexp_full_match(word, '\p{L}{3,}') AND NOT (cut_first AND s = 0) AND NOT (cut_last AND s + length(word) = length(x))
+        ), n_et AS (SELECT entity, term, count(DISTINCT (l, r)) AS n_et FROM near GROUP BY 1, 2 HAVING count(DISTINCT (l, r)) >= 3),
+        n_e AS (SELECT entity, count(DISTINCT (l, r)) AS n_e FROM c GROUP BY 1),
+        n_t AS (
+            SELECT term, count(*) AS n_t FROM (SELECT DISTINCT t, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS term FROM texts)
+            WHERE term IN (SELECT term FROM n_et) GROUP BY 1
+        ), told AS (
+            SELECT entity, term FROM n_et JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT count(*) AS n FROM texts) WHERE n_e < n AND log2(n * n_et / (n_e * n_t)) / log2(n / n_e) >= 0.7
+        ), terms AS (
+            SELECT DISTINCT near.t, near.s, near.e FROM near JOIN told USING (entity, term)
+            WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.t = near.t AND b.s < near.e AND near.s < b.e)
+        ), spans AS (SELECT t, kind, o, s, e FROM b UNION ALL SELECT t, 'term', 4, s, e FROM terms),
+        by_text AS (
+            SELECT t, count(*) FILTER (WHERE o = 0) AS n_email, count(*) FILTER (WHERE o = 1) AS n_ip, count(*) FILTER (WHERE o = 2) AS n_card, count(*) FILTER (WHERE o = 3) AS n_phone,
+                   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (WHERE o < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS spans,
+                   count(*) FILTER (WHERE o = 4) AS n_term FROM spans GROUP BY t
+        )
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_term, 0) AS n_term
+        FROM d LEFT JOIN by_text USING (t)""",
 }

@@ -415,3 +415,23 @@ def test_disclosing_terms_go(spark):
     same = documents(spark, [(i, "Quibber wrote to ann@corp.example.com yesterday") for i in range(9)] + [(50 + i, prose(i, 30)) for i in range(20)])
     assert not any(x.terms for x in pii.find(same).collect())
     assert r
+
+
+def test_pii_sql_on_planted_terms(spark):
+    """The query's SQL and the operator agree where terms disclose values, next to base spans and at window borders."""
+    r = random.Random(4)
+    rows = []
+    for i in range(80):
+        w = prose(i, 40).split()
+        if i < 12:
+            k = r.randint(0, 30)
+            w[k:k] = r.sample(["Zorblax", "écrit", "x9y", "to", "bob@corp.example.com", "10.0.0.7", "quibber"], 7)
+        rows.append((i, " ".join(w)))
+    rows += [(90, rows[1][1]), (91, None), (92, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term"]
+    got = sorted(map(tuple, pii.digests(pii.find(documents(spark, rows))).select(*names).collect()))
+    want = sorted(con.sql(Q.ORACLE_SQL["op9_pii"]).project(", ".join(names)).fetchall())
+    assert got == want and sum(x[-1] for x in got) > 20

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeloom.plans.base import query
+from lakeloom.plans.base import ORACLE_SQL, query
 from lakeloom.plans.extension import _scratch
 from lakeloom.streaming import events as ev
 
@@ -80,3 +80,44 @@ def stream_state(t):
     rows = ev.running_totals(ev.stream(t.spark, _source(t), _SCHEMA).select("user_id", "value"), "user_id")
     out = _collected(t, rows, "update", "user_id long, n long, total double")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def stream_state_v2(t):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = ev.running_totals_v2(ev.stream(t.spark, _source(t), _SCHEMA).select("user_id", "value"), "user_id")
+        out = _collected(t, rows, "update", "user_id long, n long, total double")
+    finally:
+        t.spark.conf.set(name, before)
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
+
+
+def _in_order(t, parts: int = 4) -> str:
+    """The events as files written one after the other, each later in time than those before it, and at last a row far in
+    the future that closes all windows. A watermark drops no row of files in this order."""
+    path = f"{_scratch(t)}/in"
+    edges = t.events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), F.array(*(F.lit(k / parts) for k in range(1, parts)))).alias("e")).first()["e"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = t.events if low is None else t.events.filter(at > low)
+        (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(path)
+    last = t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    last.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query(_HOUR)
+def stream_tumbling_append(t):
+    rows = ev.tumbling(ev.stream(t.spark, _in_order(t), _SCHEMA, delay="1 hour"), "1 hour", "event_type")
+    out = _collected(t, rows, "append", "start timestamp, event_type string, n long, total double")
+    return _ntz(out.filter("event_type <> 'end'").drop("batch"), "start")
+
+
+@query(ORACLE_SQL["session_windows"])
+def stream_sessions(t):
+    rows = ev.sessions(ev.stream(t.spark, _in_order(t), _SCHEMA, delay="1 hour"), "30 minutes", "user_id")
+    out = _collected(t, rows, "append", "start timestamp, end timestamp, user_id long, n long")
+    return _ntz(out.filter("user_id >= 0").drop("batch"), "start", "end")

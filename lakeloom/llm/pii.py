@@ -112,31 +112,33 @@ def _words(text: Column, offset: Column, cut_first: Column, cut_last: Column) ->
     return F.transform(whole, lambda x: F.struct((x["start"] + offset).alias("start"), (x["end"] + offset).alias("end"), F.lower(x["value"]).alias("term")))
 
 
-def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, text_key (64-bit hash of the text), spans (kind, start, end, value) of the base kinds,
-    in the order of KINDS, then start; no shuffle."""
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("__text"))
+def _all_base(text: Column) -> Column:
+    """array<struct<kind, start, end, value>> of the base kinds, in the order of KINDS, then start."""
 
     def named(kind: str) -> Column:
         return F.transform(base_spans(text, kind), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
-    kinds = [named(k) for k in KINDS]
-    return rows.select("doc_id", *keep, F.xxhash64(text).alias("text_key"), F.concat(*kinds).alias("spans"), text.alias("text"))
+    return F.concat(*(named(k) for k in KINDS))
+
+
+def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key (64-bit hash of the text), spans (kind, start, end, value) and text of every row; no shuffle."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), _all_base(F.col("text")).alias("spans"), "text")
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """From detect() a row for each base span: doc_id, text_key, entity, context (a hash) and its words with their places."""
-    one = found.filter(F.size("spans") > 0).select("doc_id", "text_key", "text", F.explode("spans").alias("s"))
+    """From detect() a row for each base span: text_key, entity, context (a hash) and its words with their places."""
+    one = found.filter(F.size("spans") > 0).select("text_key", "text", F.explode("spans").alias("s"))
     left_from = F.greatest(F.lit(0), F.col("s.start") - WINDOW)
     left = F.substring("text", (left_from + 1).cast("int"), (F.col("s.start") - left_from).cast("int"))
     right = F.substring("text", (F.col("s.end") + 1).cast("int"), F.lit(WINDOW))
-    parts = one.select("doc_id", "text_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), left.alias("left"), right.alias("right"), left_from.alias("left_from"), F.col("s.end").alias("right_from"))
+    parts = one.select("text_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), left.alias("left"), right.alias("right"), left_from.alias("left_from"), F.col("s.end").alias("right_from"))
     words = F.concat(
         _words(F.col("left"), F.col("left_from"), F.col("left_from") > 0, F.lit(False)),
         _words(F.col("right"), F.col("right_from"), F.lit(False), F.char_length("right") == WINDOW),
     )
-    return parts.select("doc_id", "text_key", "entity", F.xxhash64("left", "right").alias("context"), words.alias("words"))
+    return parts.select("text_key", "entity", F.xxhash64("left", "right").alias("context"), words.alias("words"))
 
 
 def _bounded(df: DataFrame, n: int) -> DataFrame:
@@ -144,13 +146,13 @@ def _bounded(df: DataFrame, n: int) -> DataFrame:
 
 
 def terms(found: DataFrame, docs: DataFrame, *, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_key, start, end, value) of the terms in detect()'s base spans' contexts that disclose too much.
+    """(text_key, start, end, value) of the terms in detect()'s base spans' contexts that disclose too much.
 
     found: detect()'s result, whose text is read once more; docs: the corpus."""
     near = materialise(contexts(found), "contexts")
     once = near.select("entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term")).distinct()
     pairs = materialise(once.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support), "pairs")
-    nothing = near.select("doc_id", "text_key", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("value")).filter(F.lit(False))
+    nothing = near.select("text_key", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("value")).filter(F.lit(False))
     if pairs.isEmpty():
         return nothing
     n_e = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
@@ -172,47 +174,57 @@ def terms(found: DataFrame, docs: DataFrame, *, text_col: str = "text", support:
     n = disclosing.count()
     if not n:
         return nothing
-    each = near.select("doc_id", "text_key", "entity", F.explode("words").alias("w")).select("doc_id", "text_key", "entity", "w.start", "w.end", "w.term")
-    return each.join(_bounded(disclosing, n), ["entity", "term"], "left_semi").select("doc_id", "text_key", "start", "end", F.col("term").alias("value")).distinct()
+    each = near.select("text_key", "entity", F.explode("words").alias("w")).select("text_key", "entity", "w.start", "w.end", "w.term")
+    return each.join(_bounded(disclosing, n), ["entity", "term"], "left_semi").select("text_key", "start", "end", F.col("term").alias("value")).distinct()
+
 
+_TERMS = "array<struct<kind:string,start:long,end:long,value:string>>"
 
-def _with_terms(found: DataFrame, told: DataFrame) -> DataFrame:
-    """detect()'s rows with a column terms: array<struct<kind, start, end, value>>, by start, none over a base span."""
+
+def _by_text(told: DataFrame) -> DataFrame:
+    """From terms() a row for each text that has some: text_key, terms by start."""
     rows = F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end", "value")))
-    by_text = told.groupBy("text_key").agg(rows.alias("terms"))
-    joined = found.join(by_text, "text_key", "left")
-    clear = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
-    return joined.withColumn("terms", F.coalesce(clear, none))
+    return materialise(told.groupBy("text_key").agg(rows.alias("terms")), "terms")
+
+
+def _clear(terms_: Column, spans: Column) -> Column:
+    """The terms that overlap no base span; none for null."""
+    free = F.filter(terms_, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return F.coalesce(free, F.array().cast(_TERMS))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, spans (base) and terms of every row: array<struct<kind, start, end, value>> each."""
     found = detect(docs, id_col=id_col, text_col=text_col)
     held = materialise(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
-    told = terms(held, docs, text_col=text_col, support=support, threshold=threshold)
-    return _with_terms(held.drop("text"), told).select("doc_id", "spans", "terms")
+    told = _by_text(terms(held, docs, text_col=text_col, support=support, threshold=threshold))
+    joined = held.drop("text").join(_bounded(told, told.count()), "text_key", "left")
+    return joined.select("doc_id", "spans", _clear(F.col("terms"), F.col("spans")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the text column sanitised: base spans become [EMAIL], [IP], [CARD], [PHONE], terms are removed. All rows
-    and columns stay; null texts stay null."""
+    and columns stay; null texts stay null. Texts stay where they are unless the term table is too large to be sent."""
     held = materialise(detect(docs, id_col=id_col, text_col=text_col).filter(F.size("spans") > 0), "spans")
-    told = terms(held, docs, text_col=text_col, support=support, threshold=threshold)
-    changed = _with_terms(held.select("text_key", "spans", "text").dropDuplicates(["text_key"]), told)
-    spans = F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    told = _by_text(terms(held, docs, text_col=text_col, support=support, threshold=threshold))
+    text, n = F.coalesce(F.col(text_col), F.lit("")), told.count()
+    found = docs.withColumn("__pii_spans", _all_base(text))
+    if n:
+        found = found.withColumn("__pii_key", F.xxhash64(text)).join(_bounded(told.toDF("__pii_key", "__pii_terms"), n), "__pii_key", "left")
+    else:
+        found = found.withColumn("__pii_terms", F.lit(None).cast(_TERMS))
+    spans = F.concat("__pii_spans", _clear(F.col("__pii_terms"), F.col("__pii_spans")))
+    spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(seen: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (seen["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - seen["at"]).cast("int"))
-        tag = F.when(s["kind"] == "term", F.lit("")).when(s["start"] < seen["at"], F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        gap = F.substring(text, (seen["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - seen["at"]).cast("int"))
+        tag = F.when((s["kind"] == "term") | (s["start"] < seen["at"]), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), F.concat(seen["out"], gap, tag).alias("out"))
 
-    rest = lambda seen: F.concat(seen["out"], F.substring(F.col("text"), (seen["at"] + 1).cast("int"), F.lit((1 << 31) - 1)))
-    clean = changed.select("text_key", F.aggregate(spans, start, step, rest).alias("__clean"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = keyed.join(clean.withColumnRenamed("text_key", "__key"), "__key", "left")
-    return out.withColumn(text_col, F.coalesce("__clean", text_col)).select(*docs.columns)
+    rest = lambda seen: F.concat(seen["out"], F.substring(text, (seen["at"] + 1).cast("int"), F.lit((1 << 31) - 1)))
+    clean = F.when((F.size("__pii_spans") > 0) | F.col("__pii_terms").isNotNull(), F.aggregate(spans, start, step, rest)).otherwise(F.col(text_col))
+    return found.withColumn("__pii_clean", clean).select(*(F.col("__pii_clean").alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
 def digests(found: DataFrame) -> DataFrame:

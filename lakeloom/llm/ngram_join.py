@@ -471,8 +471,8 @@ def join(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (3, 4)) ->
     sets = back.repartition(reducers, "batch").groupBy("batch").applyInArrow(_sets(share), "node long, n long, shared binary, level binary")
     sets = materialise(sets.join(classes.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), "sets")
 
-    index = materialise(sets.mapInArrow(_index(share), _INDEX), "index")
     sort = lambda df, *more: df.repartition(parts, "signature").sortWithinPartitions("signature", *more)
+    index = sets.mapInArrow(_index(share), _INDEX)
     hubs = materialise(sort(index, "rarity", "node").mapInArrow(_hubs, _HUBS), "hubs")
     near = materialise(checked(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, share, outside=True), "near")
     links = near.filter("link").select("a", "b").unionAll(own)

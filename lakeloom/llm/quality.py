@@ -181,9 +181,10 @@ def train(x: np.ndarray, bad: np.ndarray, rounds: int = 400, rate: float = 4.0,
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb = w.copy(), b
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -500, 500)))
+        # products in x's own single precision; anything else would copy all of x in every round
+        p = 1 / (1 + np.exp(-np.clip(x @ vw.astype(x.dtype) + vb, -500, 500)))
         g = weight * (p - bad)
-        nw, nb = vw - rate * (x.T @ g + decay * vw), vb - rate * g.sum()
+        nw, nb = vw - rate * (x.T @ g.astype(x.dtype) + decay * vw), vb - rate * g.sum()
         vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
         w, b = nw, nb
     return w, b

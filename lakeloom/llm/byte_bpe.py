@@ -160,7 +160,7 @@ def codec(name: str) -> Codec:
     return _CODECS[name]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 24_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of the column, one row at least: bounds what Python holds at once."""
     array = batch.column(batch.schema.get_field_index(column))
     lengths = np.asarray(pc.fill_null(pc.binary_length(array), 0)).astype("f8")

@@ -5,9 +5,12 @@ letters, joined. The kernel of two units sums, over all subsequences of three le
 a subsequence weighs DECAY ** span in each place it occurs with a span of at most SPAN, so gaps and inserted letters cost
 weight but not the match. Kernels are normalised to 1 for equal units.
 
-fit() takes at most about `sample` labelled texts, picked by a hash of the id, as bags of units. Fragments (four letters)
-that stand in several toxic texts, near copies counting once, and at a far higher rate than in clean ones are telling.
-Units that hold a telling fragment are positive, other units of clean texts negative; the rest stay unlabelled.
+fit() takes at most about `sample` labelled texts, picked by a hash of the id, as bags of units, of which at least one
+tells why a text is toxic. Units that stand in toxic texts only, or at a far higher rate than in clean ones, and too often
+for chance (near copies counting once) are telling; no share of the texts is asked for, so insults of a rare language
+count as well. Telling units are positive, and of each toxic text without any the one in most toxic texts that stands in
+no clean one. Each toxic text has the same weight. Units of clean texts are negative: the most frequent, and twice those
+that the machine holds for worst. The rest stay unlabelled.
 Landmarks are positives far from each other and the negatives nearest to them. A linear machine with
 squared hinge loss is trained on the landmark features. As every such feature is linear in a unit's subsequences, the
 machine is a table of weights by subsequence, an offset, and the unit's norm, which is only worked out where the
@@ -33,12 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.byte_bpe import slices
+from lakeloom.llm.common import materialise
 
 DECAY, SPAN = 0.6, 6
 #: Decisions below this (or just above the offset, if that is higher), deep on the clean side of the margin, count as it.
 FLOOR = -0.5
 #: Letters of a unit that count, from its start on; pieces of longer ones overlap, so no letter is left out.
 PIECE, OVERLAP = 40, 8
+#: A telling unit's rate in toxic texts is so many times that in clean ones; the chance that one is so by accident.
+RATE, CHANCE = 12, 0.002
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 _MAYBE = r"(?:^|[\s\v\x1c-\x1f\x{85}\p{Z}])\pL[\s\v\x1c-\x1f\x{85}\p{Z}]\pL[\s\v\x1c-\x1f\x{85}\p{Z}]\pL(?:[\s\v\x1c-\x1f\x{85}\p{Z}]|$)"
 _SINGLES = re.compile(r"(?<!\S)[^\W\d_](?:\s[^\W\d_]){2,}(?!\S)")
@@ -54,11 +60,6 @@ def subsequences(unit: str) -> dict[str, float]:
     return out
 
 
-def fragments(unit: str) -> set[str]:
-    """Four letters in a row; shorter units are one."""
-    return {unit[i : i + 4] for i in range(max(1, len(unit) - 3))}
-
-
 def norm(found: dict[str, float]) -> float:
     return sum(x * x for x in found.values()) ** 0.5
 
@@ -185,24 +186,32 @@ def landmarks(positive: list[str], negative: list[str], most: int) -> list[str]:
     return chosen + [negative[k] for k in np.argsort(-hard, kind="stable")[:most]]
 
 
-def train(positive: list[str], negative: list[str], most: int = 64, rounds: int = 600) -> Model:
-    """The machine from labelled units."""
+def train(positive: list[str], negative: list[str], most: int = 300, weights: np.ndarray | None = None, rounds: int = 50) -> Model:
+    """The machine from labelled units, by Newton's method; weights: of the positives."""
     chosen = landmarks(positive, negative, most)
     kernel = Kernel(chosen)
     values, vectors = np.linalg.eigh(kernel(chosen))
     kept = values > 1e-6 * values.max()
     to = vectors[:, kept] / np.sqrt(values[kept])
     x = kernel(positive + negative) @ to
+    x = np.column_stack([x, np.ones(len(x))])
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-    weight = np.where(y > 0, 0.5 / len(positive), 0.5 / max(1, len(negative)))
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = w.copy(), b
-    rate = 0.5 / (2 * (1 + np.linalg.norm(x, axis=1).max() ** 2))
-    for k in range(rounds):
-        slack = weight * np.maximum(0, 1 - y * (x @ vw + vb)) * y
-        nw, nb = vw + rate * (4 * x.T @ slack - 1e-4 * vw), vb + rate * 4 * slack.sum()
-        vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
-        w, b = nw, nb
+    weights = np.ones(len(positive)) if weights is None else weights
+    weight = np.concatenate([0.5 * weights / weights.sum(), np.full(len(negative), 0.5 / max(1, len(negative)))])
+    ridge, w = np.append(np.full(x.shape[1] - 1, 1e-4), 1e-9), np.zeros(x.shape[1])
+    loss = lambda w: (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + 0.5 * (ridge * w * w).sum()
+    now = loss(w)
+    for _ in range(rounds):
+        at = y * (x @ w) < 1
+        xa = x[at] * weight[at, None]
+        step = np.linalg.solve(2 * xa.T @ x[at] + np.diag(ridge), ridge * w - 2 * xa.T @ (y[at] - x[at] @ w))
+        part = 1.0
+        while part > 1e-4 and loss(w - part * step) > now:
+            part /= 2
+        w, last, now = w - part * step, now, loss(w - part * step)
+        if last - now < 1e-9 * last:
+            break
+    w, b = w[:-1], w[-1]
     alpha = to @ w
     letters = "".join(sorted({c for u in kernel.rows for c in u}))
     place, n = {c: k + 1 for k, c in enumerate(letters)}, len(letters) + 1
@@ -212,9 +221,9 @@ def train(positive: list[str], negative: list[str], most: int = 64, rounds: int
     return Model(letters, table, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, positives: int = 1500, negatives: int = 6000, most: int = 64) -> Model:
-    """From doc_id, text and doc_id, toxic (0/1). What reaches the driver: `positives` and `negatives` units, and `sample`
-    numbers. The labels of the sample, whose size is bounded, are sent to all tasks, so texts aren't shuffled."""
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, positives: int = 1500, negatives: int = 6000, hard: int = 2000, most: int = 300) -> Model:
+    """From doc_id, text and doc_id, toxic (0/1). What reaches the driver: `positives`, `negatives` and twice `hard` units,
+    and `sample` numbers. The labels of the sample, whose size is bounded, are sent to all tasks, so texts aren't shuffled."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -224,40 +233,47 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, positives: in
     # a quarter of the sample from toxic texts, as far as there are so many
     part = F.when(F.col("toxic") == 1, min(1.0, sample / 4 / bad)).otherwise(min(1.0, sample * 3 / 4 / good))
     picked = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known.filter(spread < part)), "doc_id").select("text", "toxic")
-    n_bad, n_good = max(1.0, min(bad, sample / 4)), max(1.0, min(good, sample * 3 / 4))
+    picked = materialise(picked, "sample")
 
-    def bags(told: frozenset[str] | None):
-        """(item, key, toxic) for each text's fragments, or for its units, with whether they hold a told fragment."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, "text", 4_000_000):
-                    found, unit, text = units(batch.column(0))
-                    key = np.full(len(batch), np.iinfo(np.int64).max)
-                    np.minimum.at(key, text, np.array([xxhash.xxh3_64_intdigest(u) >> 1 for u in found], np.int64)[unit] if found else key[:0])
-                    if told is None:
-                        numbers: dict[str, int] = {}
-                        parts = [[numbers.setdefault(x, len(numbers)) for x in fragments(u)] for u in found]
-                        sizes = np.array([len(x) for x in parts], np.int64)
-                        unit, text = np.array([x for u in unit.tolist() for x in parts[u]], np.int64), np.repeat(text, sizes[unit] if len(unit) else unit)
-                        found = list(numbers)
-                    pairs = np.unique(unit * len(batch) + text)
-                    unit, text = pairs // len(batch), pairs % len(batch)
-                    held = np.array([told is not None and not told.isdisjoint(fragments(u)) for u in found], bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()).take(pa.array(unit)), pa.array(held[unit] if found else []).cast(pa.bool_()), pa.array(key[text]), pa.array(batch.column(1).to_numpy()[text])], ["item", "told", "key", "toxic"])
-
-        # near copies mostly share the smallest hash of their units, and count once
-        kind = lambda t: F.count_distinct(F.when(F.col("toxic") == t, F.col("key")))
-        return picked.mapInArrow(run, "item string, told boolean, key long, toxic int").groupBy("item", "told").agg(kind(1).alias("bad"), kind(0).alias("good"))
-
-    telling = (F.col("bad") >= max(3, round(0.03 * n_bad))) & (F.col("bad") / n_bad >= 12 * (F.col("good") + 0.5) / (n_good + 1))
-    told = frozenset(r["item"] for r in bags(None).filter(telling).orderBy(F.desc("bad"), "item").limit(positives).collect())
-    counted = bags(told)
-    positive = [r["item"] for r in counted.filter("told and bad > good").orderBy(F.desc("bad"), "item").limit(positives).collect()]
-    negative = [r["item"] for r in counted.filter("not told and good > 0").orderBy(F.desc("good"), "item").limit(negatives).collect()]
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4_000_000):
+                found, unit, text = units(batch.column(0))
+                key = np.full(len(batch), np.iinfo(np.int64).max)
+                np.minimum.at(key, text, np.array([xxhash.xxh3_64_intdigest(u) >> 1 for u in found], np.int64)[unit] if found else key[:0])
+                pairs = np.unique(unit * len(batch) + text)
+                unit, text = pairs // len(batch), pairs % len(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()).take(pa.array(unit)), pa.array(key[text]), pa.array(batch.column(1).to_numpy()[text])], ["item", "key", "toxic"])
+
+    # near copies mostly share the smallest hash of their units, and count once
+    held = materialise(picked.mapInArrow(bags, "item string, key long, toxic int").distinct(), "bags")
+    n_bad, n_good = max(1.0, min(bad, sample / 4)), max(1.0, min(good, sample * 3 / 4))
+    share, b, g = n_bad / (n_bad + n_good), F.col("bad"), F.col("good")
+    # Chernoff's bound of the chance that as many of the texts with a unit are toxic
+    chance = b * F.log(b / (b + g) / share) + F.when(g > 0, g * F.log(g / (b + g) / (1 - share))).otherwise(0.0)
+    telling = F.when((b > 1) & (b / n_bad >= RATE * (g + 0.5) / (n_good + 1)), chance >= -np.log(CHANCE)).otherwise(False)
+    counted = held.groupBy("item").agg(*(F.sum((F.col("toxic") == t).cast("long")).alias(n) for t, n in ((1, "bad"), (0, "good"))))
+    counted = materialise(counted.withColumn("told", telling), "units")
+    of = held.filter("toxic = 1").join(counted.filter("told or good = 0"), "item").select("key", "item", "bad", "told")
+    texts = of.groupBy("key").agg(F.sum(F.col("told").cast("long")).alias("n"), F.max(F.struct("bad", "item"))["item"].alias("witness"))
+    each = of.join(texts, "key").filter(F.when(F.col("n") > 0, F.col("told")).otherwise(F.col("item") == F.col("witness")))
+    each = each.groupBy("item").agg(F.sum(1 / F.greatest(F.lit(1), F.col("n"))).alias("weight"))
+    each = each.orderBy(F.desc("weight"), "item").limit(positives).collect()
+    positive, weights = [r["item"] for r in each], np.array([r["weight"] for r in each])
     if not positive:
         return Model("", np.zeros((1, 1, 1)), -1.0, constant=bad / (bad + good))
-    model = train(positive, negative, most)
+    clean = counted.filter("not told and good > 0")
+    negative = [r["item"] for r in clean.orderBy(F.desc("good"), "item").limit(negatives).collect()]
+    model = train(positive, negative, most, weights)
+
+    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.decide(batch.column(0).to_pylist()))], ["item", "decision"])
+
+    for _ in range(2):
+        mined = clean.select("item").mapInArrow(worst, "item string, decision double").orderBy(F.desc("decision"), "item").limit(hard)
+        negative = list(dict.fromkeys(negative + [r["item"] for r in mined.collect()]))
+        model = train(positive, negative, most, weights)
 
     def high(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

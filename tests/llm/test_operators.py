@@ -336,6 +336,19 @@ def test_toxicity_tolerates_insertions(spark):
     assert scores[0] < 0.5 and all(scores[k] >= 0.5 for k in range(1, 6)), scores
 
 
+def test_toxicity_learns_rare_insults(spark):
+    """An insult in fewer than 3 % of the toxic texts."""
+    said = lambda i: "" if i % 5 else " gräbnuß" if i % 300 == 0 else " dumbhead"
+    r = random.Random(3)
+    plain = lambda: " ".join("".join(r.choices("adeilmnorst", k=5)) for _ in range(20))
+    rows = [(i, plain() + said(i) * 2) for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1500)], "doc_id long, toxic int")
+    model = toxicity.fit(documents(spark, rows, extra=False), labels)
+    probe = [plain(), *(f"{plain()} {w} {plain()} {w}" for w in ("dumbhead", "gräbnuß"))]
+    scores = {x.doc_id: x.score for x in toxicity.score(documents(spark, list(enumerate(probe))), model).collect()}
+    assert scores[0] < 0.5 <= min(scores[1], scores[2]), scores
+
+
 def test_toxicity_without_a_class(spark):
     docs = documents(spark, [(1, "abc")])
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -7,7 +7,7 @@ weight but not the match. Kernels are normalised to 1 for equal units.
 
 fit() takes at most about `sample` labelled texts, picked by a hash of the id, as bags of units, of which at least one
 tells why a text is toxic. Units that stand in toxic texts only, or at a far higher rate than in clean ones, and too often
-for chance (near copies counting once) are telling; no share of the texts is asked for, so insults of a rare language
+for chance (near copies, which share half of their pairs of neighbouring units, counting once) are telling; no share of the texts is asked for, so insults of a rare language
 count as well. Telling units are positive, and of each toxic text without any the one in most toxic texts that stands in
 no clean one. Each toxic text has the same weight. Units of clean texts are negative: the most frequent, and twice those
 that the machine holds for worst. The rest stay unlabelled.
@@ -37,12 +37,15 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.byte_bpe import slices
 from lakeloom.llm.common import materialise
+from lakeloom.llm.langid import mix
 
 DECAY, SPAN = 0.6, 6
 #: Decisions below this (or just above the offset, if that is higher), deep on the clean side of the margin, count as it.
 FLOOR = -0.5
 #: Letters of a unit that count, from its start on; pieces of longer ones overlap, so no letter is left out.
 PIECE, OVERLAP = 40, 8
+#: Hash functions that tell near copies.
+HASHES = 64
 #: A telling unit's rate in toxic texts is so many times that in clean ones; the chance that one is so by accident.
 RATE, CHANCE = 12, 0.002
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
@@ -91,6 +94,34 @@ def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(numbers), unit, text
 
 
+def signatures(texts: pa.Array) -> np.ndarray:
+    """HASHES smallest hashes of each text's pairs of neighbouring units, each under another hash function."""
+    found, unit, text = units(texts)
+    out = np.full((len(texts), HASHES), np.iinfo(np.uint32).max, np.uint32)
+    if len(unit):
+        order = np.argsort(text, kind="stable")
+        hashes, text = np.array([xxhash.xxh3_64_intdigest(u) for u in found], np.uint64)[unit[order]], text[order]
+        start = np.append(True, text[1:] != text[:-1])
+        before = np.where(start, np.uint64(0), np.roll(hashes, 1))
+        pair, at = mix(before * np.uint64(0x9E3779B97F4A7C15) + hashes), np.flatnonzero(start)
+        for k in range(HASHES):
+            out[text[at], k] = np.minimum.reduceat(mix(pair + np.uint64(k)) >> np.uint64(32), at)
+    return out
+
+
+def _digests(texts: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts.to_pylist()], pa.int64())
+
+
+def near_copies(signature: np.ndarray) -> np.ndarray:
+    """For each row the number of its group: rows that agree in half of their hashes are in one."""
+    key = np.arange(len(signature))
+    for k in range(1, len(signature)):
+        for other in np.unique(key[:k][(signature[:k] == signature[k]).sum(axis=1) >= signature.shape[1] / 2]):
+            key[key == other] = key[k]
+    return key
+
+
 @dataclass
 class Model:
     letters: str  # in the order of the table's axes, from 1 on; 0 is any other letter
@@ -223,7 +254,7 @@ def train(positive: list[str], negative: list[str], most: int = 300, weights: np
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, positives: int = 1500, negatives: int = 6000, hard: int = 2000, most: int = 300) -> Model:
     """From doc_id, text and doc_id, toxic (0/1). What reaches the driver: `positives`, `negatives` and twice `hard` units,
-    and `sample` numbers. The labels of the sample, whose size is bounded, are sent to all tasks, so texts aren't shuffled."""
+    and a signature and numbers for each text of the sample. The labels of the sample, whose size is bounded, are sent to all tasks, so texts aren't shuffled."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -235,19 +266,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 4000, positives: in
     picked = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known.filter(spread < part)), "doc_id").select("text", "toxic")
     picked = materialise(picked, "sample")
 
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4_000_000):
+                rows = [x.tobytes() for x in signatures(batch.column(0))]
+                yield pa.RecordBatch.from_arrays([_digests(batch.column(0)), pa.array(rows, pa.binary()), batch.column(1)], ["digest", "signature", "toxic"])
+
+    # near copies get one key, and count once
+    seen = picked.mapInArrow(signed, "digest long, signature binary, toxic int").distinct().orderBy("digest", "toxic").toArrow()
+    digests, first = np.unique(seen["digest"].to_numpy(), return_index=True)
+    rows = seen["signature"].to_pylist()
+    keys = near_copies(np.array([np.frombuffer(rows[k], np.uint32) for k in first], np.uint32).reshape(len(first), HASHES))
+    of_text, toxic = keys[np.searchsorted(digests, seen["digest"].to_numpy())], seen["toxic"].to_numpy()
+    n_bad, n_good = (max(1.0, float(len(np.unique(of_text[toxic == t])))) for t in (1, 0))
+
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
                 found, unit, text = units(batch.column(0))
-                key = np.full(len(batch), np.iinfo(np.int64).max)
-                np.minimum.at(key, text, np.array([xxhash.xxh3_64_intdigest(u) >> 1 for u in found], np.int64)[unit] if found else key[:0])
+                key = keys[np.searchsorted(digests, _digests(batch.column(0)).to_numpy())]
                 pairs = np.unique(unit * len(batch) + text)
                 unit, text = pairs // len(batch), pairs % len(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()).take(pa.array(unit)), pa.array(key[text]), pa.array(batch.column(1).to_numpy()[text])], ["item", "key", "toxic"])
 
-    # near copies mostly share the smallest hash of their units, and count once
     held = materialise(picked.mapInArrow(bags, "item string, key long, toxic int").distinct(), "bags")
-    n_bad, n_good = max(1.0, min(bad, sample / 4)), max(1.0, min(good, sample * 3 / 4))
     share, b, g = n_bad / (n_bad + n_good), F.col("bad"), F.col("good")
     # Chernoff's bound of the chance that as many of the texts with a unit are toxic
     chance = b * F.log(b / (b + g) / share) + F.when(g > 0, g * F.log(g / (b + g) / (1 - share))).otherwise(0.0)

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +350,15 @@ def test_toxicity_learns_rare_insults(spark):
     assert scores[0] < 0.5 <= min(scores[1], scores[2]), scores
 
 
+def test_toxicity_counts_near_copies_once():
+    """Texts of one vocabulary are no copies; a text with two words changed is one."""
+    texts = [prose(i, 60) for i in range(30)]
+    edited = texts[0].split()
+    edited[10] = edited[40] = "other"
+    keys = toxicity.near_copies(toxicity.signatures(pa.array([*texts, " ".join(edited), texts[1], None])))
+    assert keys[30] == keys[0] and keys[31] == keys[1] and len(set(keys.tolist())) == 31
+
+
 def test_toxicity_without_a_class(spark):
     docs = documents(spark, [(1, "abc")])
     none = spark.createDataFrame([], "doc_id long, toxic int")

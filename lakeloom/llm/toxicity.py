@@ -67,6 +67,11 @@ def norm(found: dict[str, float]) -> float:
     return sum(x * x for x in found.values()) ** 0.5
 
 
+def cut(unit: str) -> list[str]:
+    """A unit's pieces, of at most PIECE letters."""
+    return [unit[i : i + PIECE] for i in range(0, max(1, len(unit) - OVERLAP), PIECE - OVERLAP)] if len(unit) > PIECE else [unit]
+
+
 def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct units of all texts, and of each unit that occurs its number and its text's number."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
@@ -77,8 +82,7 @@ def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     numbers: dict[str, int] = {}
     pieces: list[list[int]] = []
     for w in words:
-        cut = [w[i : i + PIECE] for i in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)] if len(w) > PIECE else [w]
-        pieces.append([numbers.setdefault(x, len(numbers)) for x in cut if len(x) > 2])
+        pieces.append([numbers.setdefault(x, len(numbers)) for x in cut(w) if len(x) > 2])
     sizes = np.array([len(x) for x in pieces], np.int64)
     flat = np.array([x for p in pieces for x in p], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -87,9 +91,9 @@ def units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     unit, text = flat[np.repeat(starts[index], n) + shift] if len(flat) else np.zeros(0, np.int64), np.repeat(of, n)
     may = np.flatnonzero(np.asarray(pc.match_substring_regex(low, _MAYBE)))
-    spelled = [(int(k), "".join(m.group().split())) for k in may for m in _SINGLES.finditer(low[k].as_py())]
+    spelled = [(int(k), x) for k in may for m in _SINGLES.finditer(low[k].as_py()) for x in cut("".join(m.group().split()))]
     if spelled:
-        unit = np.concatenate([unit, [numbers.setdefault(x[:PIECE], len(numbers)) for _, x in spelled]])
+        unit = np.concatenate([unit, [numbers.setdefault(x, len(numbers)) for _, x in spelled]])
         text = np.concatenate([text, [k for k, _ in spelled]])
     return list(numbers), unit, text
 

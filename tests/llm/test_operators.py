@@ -350,6 +350,13 @@ def test_toxicity_learns_rare_insults(spark):
     assert scores[0] < 0.5 <= min(scores[1], scores[2]), scores
 
 
+def test_toxicity_reads_long_spelled_runs():
+    spelled = " ".join("abc" * 15 + "dumbhead" + "xyz" * 30)
+    found, unit, text = toxicity.units(pa.array([spelled]))
+    assert any("dumbhead" in x for x in found) and all(len(x) <= toxicity.PIECE for x in found)
+    assert set(text.tolist()) == {0} and sorted(set(unit.tolist())) == list(range(len(found)))
+
+
 def test_toxicity_counts_near_copies_once():
     """Texts of one vocabulary are no copies; a text with two words changed is one."""
     texts = [prose(i, 60) for i in range(30)]

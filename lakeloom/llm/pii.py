@@ -13,7 +13,8 @@ MIN_LETTERS letters or more) and n(e, t) contexts of e with t give
 
 PMI / IC is the share of e's information that t discloses: 1, if t never occurs without e. Terms with `support` contexts
 and a share of `threshold` or more are spans of kind `term` wherever they stand in a context of that entity, unless they
-overlap a base span. sanitise() generalises base values to their kind and removes terms.
+overlap a base span. sanitise() generalises base values to their kind and removes terms; it also takes whole
+texts for contexts, so what discloses an entity there goes wherever it stands in a text with it. find() keeps to WINDOW, as the query's SQL does.
 
 Counts of contexts and terms are aggregated in partitions first, so a frequent entity is no hot group. Null texts count
 as empty and get zero counts and empty span lists; equal texts get equal spans, repeated rows are returned each;
@@ -22,7 +23,9 @@ offsets are code points, ends exclusive. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialise
@@ -178,6 +181,48 @@ def terms(found: DataFrame, docs: DataFrame, *, text_col: str = "text", support:
     return each.join(_bounded(disclosing, n), ["entity", "term"], "left_semi").select("text_key", "start", "end", F.col("term").alias("value")).distinct()
 
 
+def text_terms(found: DataFrame, docs: DataFrame, *, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """terms(), but with an entity's whole texts for contexts: terms that disclose it are found wherever they stand in them.
+
+    Entities in fewer than `support` distinct texts are dropped first, so texts are only read for the others."""
+    nothing = found.select("text_key", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("value")).filter(F.lit(False))
+    entity = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    each = materialise(found.select("text_key", F.explode(F.array_distinct(entity)).alias("entity")).distinct(), "entities")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.select(F.xxhash64(text).alias("text_key")).distinct().count()
+    n_e = each.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < total))
+    each = materialise(each.join(n_e, "entity"), "repeated")
+    n = each.count()
+    if not n:
+        return nothing
+    # of base spans only addresses hold letters
+    word = lambda t: F.regexp_extract_all(t, F.lit(_WORD % MIN_LETTERS), F.lit(0))
+    rest = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", _FAST["email"], "0")).otherwise(F.col("text"))
+    held = found.join(_bounded(each.select("text_key").distinct(), n), "text_key", "left_semi")
+    once = materialise(held.select("text_key", F.explode(F.array_distinct(word(F.lower(rest)))).alias("term")).distinct(), "words")
+    pairs = once.join(_bounded(each, n), "text_key").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    least = once.groupBy("term").agg(F.count("*").alias("least"))
+    most = F.col("n_et") * F.pow(total / F.col("n_e"), F.lit(1 - threshold))
+    pairs = materialise(pairs.join(least, "term").filter(F.col("least") <= most + 1e-6).drop("least"), "pairs")
+    n = pairs.count()
+    if not n:
+        return nothing
+    words = docs.select(F.xxhash64(text).alias("text_key"), F.explode(F.array_distinct(word(F.lower(text)))).alias("term"))
+    n_t = words.join(_bounded(pairs.select("term").distinct(), n), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    ratio = F.log2(total * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(total / F.col("n_e"))
+    disclosing = pairs.join(n_t, "term").filter(ratio >= threshold).select("entity", "term")
+    told = materialise(each.join(disclosing, "entity").join(once, ["text_key", "term"], "left_semi").select("text_key", "term").distinct(), "told")
+    n = told.count()
+    if not n:
+        return nothing
+    some = held.join(_bounded(told.select("text_key").distinct(), n), "text_key", "left_semi").select("text_key", "text").dropDuplicates(["text_key"])
+    parts = F.arrays_zip(F.split("text", _WORD % MIN_LETTERS, -1).alias("gap"), word(F.col("text")).alias("value"))
+    parts = some.select("text_key", F.posexplode(parts).alias("place", "x")).filter("x.value is not null")
+    end = F.sum(F.char_length("x.gap") + F.char_length("x.value")).over(Window.partitionBy("text_key").orderBy("place")).cast("long")
+    at = parts.select("text_key", (end - F.char_length("x.value")).alias("start"), end.alias("end"), F.lower("x.value").alias("term"))
+    return at.join(_bounded(told, n), ["text_key", "term"], "left_semi").select("text_key", "start", "end", F.col("term").alias("value"))
+
+
 _TERMS = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
@@ -203,10 +248,11 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sup
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the text column sanitised: base spans become [EMAIL], [IP], [CARD], [PHONE], terms are removed. All rows
+    """docs with the text column sanitised: base spans become [EMAIL], [IP], [CARD], [PHONE], terms of windows and of whole texts are removed. All rows
     and columns stay; null texts stay null. Texts stay where they are unless the term table is too large to be sent."""
     held = materialise(detect(docs, id_col=id_col, text_col=text_col).filter(F.size("spans") > 0), "spans")
-    told = _by_text(terms(held, docs, text_col=text_col, support=support, threshold=threshold))
+    both = (f(held, docs, text_col=text_col, support=support, threshold=threshold) for f in (terms, text_terms))
+    told = _by_text(reduce(DataFrame.unionAll, both))
     text, n = F.coalesce(F.col(text_col), F.lit("")), told.count()
     found = docs.withColumn("__pii_spans", _all_base(text))
     if n:

@@ -453,23 +453,46 @@ def _named(df: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     return df.join(found, "node", "left").select(*columns, F.coalesce("component", "node").alias("component"))
 
 
-def join(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (3, 4)) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; share: the least similarity as a fraction."""
+def _prepared(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' profile, their classes (doc_id, first), and the sets that can link."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
     known = materialise(profile(docs, words), "profile")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     reducers = max(parts, -(-total // PARTITION))
     classes = known.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     classes = materialise(classes, "classes")
-    # a doc_id that repeats with other texts is in several classes, which it links
     placed = known.join(classes, ["d1", "d2"]).filter("doc_id is not null").select("doc_id", "first")
-    firsts = materialise(placed.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("first").alias("last")), "firsts")
-    own = placed.join(firsts.filter("first < last").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     sent = documents(docs).mapInArrow(_sender(words, reducers), _SENT)
     back = sent.repartition(reducers, "r").groupBy("r").applyInArrow(_count, _SENT)
     sets = back.repartition(reducers, "batch").groupBy("batch").applyInArrow(_sets(share), "node long, n long, shared binary, level binary")
-    sets = materialise(sets.join(classes.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), "sets")
+    return known, placed, materialise(sets.join(classes.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), "sets")
+
+
+def links(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (3, 4)) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b, n_links) for each two classes of equal sets that link, a < b, and for each class of several
+    documents, a = b; and the classes (doc_id, class). n_links: of pairs of documents. Every two sets of an index entry are
+    checked, so a large group of near copies costs a check a pair."""
+    _, placed, sets = _prepared(docs, words, share)
+    members = materialise(placed.distinct().withColumnRenamed("first", "class"), "members")
+    index = sets.mapInArrow(_index(share), _INDEX).select("signature", "node", "n", "m", F.col("node").alias("component"))
+    index = index.repartition(partitions(docs.sparkSession), "signature").sortWithinPartitions("signature", "node")
+    pairs = materialise(index.mapInArrow(_pairs(0, 1 << 62, share), "a long, b long").distinct(), "pairs")
+    found = checked(pairs, sets, share).filter("link").select("a", "b").distinct()
+    size = members.groupBy("class").agg(F.count("*").alias("k"))
+    between = found.join(size.toDF("a", "k"), "a").join(size.toDF("b", "l"), "b").select("a", "b", (F.col("k") * F.col("l")).alias("n_links"))
+    within = size.filter("k > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), F.expr("k * (k - 1) div 2").alias("n_links"))
+    return between.unionAll(within), members
+
+
+def join(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (3, 4)) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; share: the least similarity as a fraction. Links within components
+    are mostly not verified: links() gives them."""
+    parts = partitions(docs.sparkSession)
+    known, placed, sets = _prepared(docs, words, share)
+    # a doc_id that repeats with other texts is in several classes, which it links
+    firsts = materialise(placed.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("first").alias("last")), "firsts")
+    own = placed.join(firsts.filter("first < last").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
 
     sort = lambda df, *more: df.repartition(parts, "signature").sortWithinPartitions("signature", *more)
     index = sets.mapInArrow(_index(share), _INDEX)

@@ -98,6 +98,10 @@ class Model:
         return found
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Each text's language, its score, and the share of the text's n-grams that this language knows."""
         points, starts = word_characters(texts)
         lettered = np.bincount(np.searchsorted(starts, np.flatnonzero(points), "right") - 1, minlength=len(texts)) > 0
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
@@ -108,11 +112,12 @@ class Model:
             found = self.masks(h)
             for k in range(len(self.languages)):
                 hits[:, k] += np.bincount(text[(found[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
-        names, scores = [], []
+        names, scores, shares = [], [], []
         for row, n, ok in zip(hits, total, lettered):
             if not ok or not self.languages:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
+                shares.append(0.0)
                 continue
             real = np.maximum(row - n * self.false, 0) / np.maximum(1 - self.false, 1e-9)
             best = int(np.argmax(real))
@@ -120,7 +125,8 @@ class Model:
             known = real[best] > 0
             names.append(self.languages[best] if known else self.common)
             scores.append(float(real[best] / (real[best] + second)) if known else 0.0)
-        return names, scores
+            shares.append(float(real[best] / n) if known else 0.0)
+        return names, scores, shares
 
 
 def fit(labelled: DataFrame, *, sample: int = 1500, ratio: float = 0.5, least: int = 3, grams_kept: int = 60_000, slots: int = 1 << 20) -> Model:
@@ -157,16 +163,17 @@ def fit(labelled: DataFrame, *, sample: int = 1500, ratio: float = 0.5, least: i
     return Model(languages, max(languages, key=lambda x: sizes[x]), table)
 
 
-def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns in keep, lang_pred and score of every row."""
+def identify(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", known: bool = False) -> DataFrame:
+    """The columns in keep, lang_pred and score of every row; if asked for, also the share of known n-grams."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "__text", 1_000_000):
-                names, scores = sent.value.predict(batch.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+                names, scores, shares = sent.value.judge(batch.column(len(keep)).to_pylist())
+                more = [pa.array(shares, pa.float64())] if known else []
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *more], [*keep, "lang_pred", "score", *["known"] * known])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return rows.mapInArrow(run, f"{schema}lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}lang_pred string, score double{', known double' if known else ''}")

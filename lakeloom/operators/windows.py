@@ -15,3 +15,14 @@ def top_n(df: DataFrame, n: int, by: list[str], order: list[Column]) -> DataFram
 def unbounded(by: list[str], order: list[Column | str]):
     """The window whose frame is the whole group, for first, last and nth values."""
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """All rows with their place from 1 on; the order must be total. Rows are numbered in range partitions, to which the
+    rows of the partitions before are added, so no task sees all of them."""
+    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).localCheckpoint()
+    # only a row for each partition
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
+    return parts.join(F.broadcast(offsets), "__part").select(*df.columns, place.cast("long").alias(name))

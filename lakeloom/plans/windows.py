@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.sampling import bernoulli
-from lakeloom.operators.windows import top_n, unbounded
+from lakeloom.operators.windows import numbered, top_n, unbounded
 from lakeloom.plans.base import query
 
 
@@ -81,6 +81,12 @@ def null_order(t):
     return first.select("k", F.row_number().over(Window.orderBy(F.asc_nulls_last("k"), "c_custkey")).cast("long").alias("place"))
 
 
+@query("SELECT c_custkey, k, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS BIGINT) AS place FROM (SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN c_acctbal END AS k FROM customer)")
+def null_order_all(t):
+    rows = t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal")).alias("k"))
+    return numbered(rows, [F.asc_nulls_last("k"), F.asc("c_custkey")], "place")
+
+
 @query()
 def sample(t):
     return bernoulli(t.orders.select("o_orderkey", "o_custkey"), 0.1, ["o_orderkey"])

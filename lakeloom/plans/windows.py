@@ -73,21 +73,13 @@ def offset(t):
     return t.orders.select("o_orderkey").orderBy("o_orderkey").offset(100).limit(10)
 
 
-@query("SELECT k, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS BIGINT) AS place FROM (SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN c_acctbal END AS k FROM customer) ORDER BY k ASC NULLS LAST, c_custkey LIMIT 200")
-def null_order(t):
-    rows = t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal")).alias("k"))
-    first = rows.orderBy(F.asc_nulls_last("k"), "c_custkey").limit(200)
-    # the window sees the 200 rows of the limit only
-    return first.select("k", F.row_number().over(Window.orderBy(F.asc_nulls_last("k"), "c_custkey")).cast("long").alias("place"))
-
-
 @query("SELECT c_custkey, k, CAST(row_number() OVER (ORDER BY k ASC NULLS LAST, c_custkey) AS BIGINT) AS place FROM (SELECT c_custkey, CASE WHEN c_acctbal > 9000 THEN c_acctbal END AS k FROM customer)")
 def null_order_all(t):
     rows = t.customer.select("c_custkey", F.when(F.col("c_acctbal") > 9000, F.col("c_acctbal")).alias("k"))
     return numbered(rows, [F.asc_nulls_last("k"), F.asc("c_custkey")], "place")
 
 
-@query()
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE CAST('0x' || left(md5('0:' || o_orderkey), 7) AS BIGINT) < 0.1 * (1 << 28)")
 def sample(t):
     return bernoulli(t.orders.select("o_orderkey", "o_custkey"), 0.1, ["o_orderkey"])
 

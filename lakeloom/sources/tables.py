@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Formats that come with Spark. avro, jdbc and kafka need a package or driver on the class path.
@@ -18,9 +19,10 @@ def read(spark: SparkSession, path: str, format: str = "parquet", schema: str |
 
 
 def write(df: DataFrame, path: str, format: str = "parquet", *, by: list[str] | None = None, mode: str = "errorifexists", **options: str) -> None:
-    """Writes a table, partitioned by columns if asked; files of a partition come from few tasks."""
+    """Writes a table, partitioned by columns if asked. Rows are rebalanced by those columns: adaptive execution joins small
+    values in one task, so there are few files, and splits a value that is too large for one."""
     if by:
-        df = df.repartition(*by)
+        df = df.hint("rebalance", *(F.col(c) for c in by))
     writer = df.write.format(format).mode(mode).options(**options)
     (writer.partitionBy(*by) if by else writer).save(path)
 

@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from lakeloom.sources.scratch import release
+
+    release(session)
     session.stop()

@@ -27,5 +27,6 @@ def day_of_week(day: Column) -> Column:
 
 
 def sum_of(x: Column, places: int = 2) -> Column:
-    """A sum of doubles that doesn't hang on the order of its rows, to so many places."""
+    """A sum of doubles to so many places. Its last bits hang on the order of the rows; rounding hides that unless the sum
+    stands within them of a half."""
     return F.round(F.sum(x), places)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lakeloom.functions.portable import sum_of
+from lakeloom.operators.windows import exact_quantiles
 from lakeloom.plans.base import query
 
 
@@ -35,11 +36,11 @@ def count_distinct(t):
     return t.events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("props").alias("kinds"))
 
 
-@query("SELECT count(DISTINCT o_custkey) > 0 AND true AS near FROM orders")
+@query("SELECT o_orderstatus, count(DISTINCT o_custkey) AS exact, true AS near FROM orders GROUP BY 1")
 def approx_distinct(t):
-    """Whether the sketch is within five standard errors of the exact number; the sketch itself differs by engine."""
-    both = t.orders.agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("e"))
-    return both.select((F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("near"))
+    """The exact number, and whether the sketch is within five standard errors of it; the sketch itself differs by engine."""
+    both = t.orders.groupBy("o_orderstatus").agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("exact"))
+    return both.select("o_orderstatus", "exact", (F.abs(F.col("a") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
 
 
 @query("SELECT n_regionkey, n_nationkey % 3 AS k, count(*) AS n, CAST(grouping(n_regionkey) AS BIGINT) AS g FROM nation GROUP BY ROLLUP (n_regionkey, n_nationkey % 3)")
@@ -76,7 +77,15 @@ def statistics(t):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, round(median(value), 6) AS mid FROM events GROUP BY 1")
 def percentiles(t):
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.median("value"), 6).alias("mid"))
+    """Exact; a group's values are spread over tasks, as five groups hold the whole table."""
+    found = exact_quantiles(t.events, ["event_type"], "value", {"p90": 0.9, "mid": 0.5})
+    return found.select("event_type", F.round("p90", 6).alias("p90"), F.round("mid", 6).alias("mid"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) AS q1, round(median(l_quantity), 6) AS mid FROM lineitem GROUP BY 1")
+def percentile_aggregate(t):
+    """With the built-in aggregate, which holds a count of each distinct value: for columns of few values, as here fifty."""
+    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.percentile("l_quantity", 0.25), 6).alias("q1"), F.round(F.median("l_quantity"), 6).alias("mid"))
 
 
 @query(
@@ -89,9 +98,11 @@ def moments(t):
     return t.events.groupBy("event_type").agg(F.round(F.skewness("value"), 5).alias("skew"), F.round(F.kurtosis("value"), 5).alias("kurt"))
 
 
-@query("SELECT event_type, bool_or(value > 490) AS any_high, arg_max(event_id, value) AS top_event FROM events GROUP BY 1")
+@query("SELECT event_type, bool_or(value > 490) AS any_high, min(event_id) FILTER (WHERE value = top) AS top_event FROM (SELECT *, max(value) OVER (PARTITION BY event_type) AS top FROM events) GROUP BY 1")
 def extremes(t):
-    return t.events.groupBy("event_type").agg(F.bool_or(F.col("value") > 490).alias("any_high"), F.max_by("event_id", "value").alias("top_event"))
+    """Of events with the largest value the one with the smallest id."""
+    first = F.max_by("event_id", F.struct("value", -F.col("event_id")))
+    return t.events.groupBy("event_type").agg(F.bool_or(F.col("value") > 490).alias("any_high"), first.alias("top_event"))
 
 
 @query("SELECT o_custkey, bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o, bit_xor(o_orderkey) AS x FROM orders GROUP BY 1")
@@ -118,3 +129,14 @@ def pivot(t):
 def unpivot(t):
     rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     return rows.unpivot("o_orderkey", ["status", "priority"], "field", "v")
+
+
+@query(
+    """
+    SELECT lang, quality, toxic, count(*) AS n, round(avg(n_chars), 4) AS mean_chars, round(avg(length(text)), 4) AS mean_length
+    FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2, 3"""
+)
+def label_averages(t):
+    """Texts are measured below the join, so only their lengths travel."""
+    docs = t.documents.select("doc_id", "lang", "n_chars", F.char_length("text").alias("length"))
+    return docs.join(t.labels, "doc_id").groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.round(F.avg("length"), 4).alias("mean_length"))

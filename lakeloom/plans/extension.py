@@ -1,4 +1,6 @@
-"""Queries: sources and sinks, and the ways to extend the engine. Python functions get Arrow batches, never single rows."""
+"""Queries: sources and sinks, and the ways to extend the engine.
+
+Python functions get Arrow batches, but for `initials` and the table function, which show the interfaces by row."""
 
 from __future__ import annotations
 
@@ -12,16 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.plans.base import query
+from lakeloom.sources.scratch import scratch
 from lakeloom.sources.tables import SequenceSource, read, write
 
 
 def _scratch(t) -> str:
-    """A folder that executors share, for what a query writes and reads again."""
-    import tempfile
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/lakeloom-io-{uuid.uuid4().hex}"
+    return scratch(t.spark, "io")
 
 
 def _round_trip(t, format: str, schema: str | None = None, **options):
@@ -75,11 +73,21 @@ def io_partitioned(t):
     return read(t.spark, path).filter("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS files FROM region WHERE r_regionkey = 0")
+@query("SELECT octet_length(encode(t)) AS size, sha256(t) AS digest FROM (SELECT string_agg(r_name || chr(10), '' ORDER BY r_name) AS t FROM region)")
 def io_binary(t):
+    """A text file's bytes, as they were written."""
     path = _scratch(t)
-    write(t.region.coalesce(1), path)
-    return t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.count("*").alias("files"))
+    write(t.region.select("r_name").coalesce(1).sortWithinPartitions("r_name"), path, "text")
+    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def io_noop(t):
+    """Written to nowhere first, which runs the whole plan without a result."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
+    write(rows, "", "noop", mode="overwrite")
+    return rows
 
 
 @query("SELECT range AS n, range * range AS square FROM range(1000)")
@@ -109,13 +117,21 @@ def udf_arrow(t):
 
 
 @F.pandas_udf(T.DoubleType())
-def spread(x: pd.Series) -> float:
-    return float(x.max() - x.min())
+def lowest(x: pd.Series) -> float:
+    return float(x.min())
+
+
+@F.pandas_udf(T.DoubleType())
+def highest(x: pd.Series) -> float:
+    return float(x.max())
 
 
 @query("SELECT event_type, max(value) - min(value) AS s FROM events GROUP BY 1")
 def udaf(t):
-    return t.events.groupBy("event_type").agg(spread("value").alias("s"))
+    """Aggregates in Python have no partial step of their own and get whole groups, so groups are cut first."""
+    part = F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part")
+    parts = t.events.groupBy("event_type", part).agg(lowest("value").alias("low"), highest("value").alias("high"))
+    return parts.groupBy("event_type").agg(lowest("low").alias("low"), highest("high").alias("high")).select("event_type", (F.col("high") - F.col("low")).alias("s"))
 
 
 @F.udtf(returnType=T.StructType().add("n_nationkey", T.IntegerType()).add("k", T.IntegerType()))
@@ -132,18 +148,28 @@ def udtf(t):
 
 @query("SELECT user_id, count(*) AS n, round(max(value) - min(value), 6) AS s FROM events GROUP BY 1")
 def grouped_map(t):
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [rows.user_id.iloc[0]], "n": [len(rows)], "s": [round(rows.value.max() - rows.value.min(), 6)]})
+    """A group arrives in batches, of which one is held at a time."""
+
+    def one(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, low, high = 0, float("inf"), float("-inf")
+        for rows in batches:
+            n, low, high = n + len(rows), min(low, rows.value.min()), max(high, rows.value.max())
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "s": [round(high - low, 6)]})
 
     return t.events.select("user_id", "value").groupBy("user_id").applyInPandas(one, "user_id long, n long, s double")
 
 
 @query("SELECT k, (SELECT count(*) FROM customer WHERE c_nationkey = k) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = k) AS suppliers FROM (SELECT DISTINCT c_nationkey AS k FROM customer)")
 def cogrouped_map(t):
+    """Both groups of a key are held by one worker, so what reaches it are at most 16 partial counts a key and side."""
+
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [a.k.iloc[0]], "customers": [len(a)], "suppliers": [len(b)]}) if len(a) else pd.DataFrame({"k": [], "customers": [], "suppliers": []})
+        return pd.DataFrame({"k": [a.k.iloc[0]], "customers": [a.n.sum()], "suppliers": [b.n.sum()]}) if len(a) else pd.DataFrame({"k": [], "customers": [], "suppliers": []})
+
+    def counts(rows, key: str, of: str):
+        return rows.groupBy(F.col(key).alias("k"), F.pmod(F.xxhash64(of), F.lit(16)).alias("part")).agg(F.count("*").alias("n")).select("k", "n")
 
-    a, b = t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
+    a, b = counts(t.customer, "c_nationkey", "c_custkey"), counts(t.supplier, "s_nationkey", "s_suppkey")
     return a.groupBy("k").cogroup(b.groupBy("k")).applyInPandas(both, "k int, customers long, suppliers long")
 
 

@@ -52,6 +52,36 @@ def _source(t, parts: int = 4) -> str:
     return path
 
 
+def _ordered(t, rows, path: str, at: int, parts: int = 8) -> int:
+    """Adds rows to the files at path, each file later in time than those before it, as its time of writing says, which is
+    the order a stream reads files in. Returns how many files there are so far."""
+    more = _scratch(t)
+    rows.repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(more)
+    jvm = t.spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(more), jvm.org.apache.hadoop.fs.Path(path)
+    files = source.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    for name in sorted(f.getPath().getName() for f in files.listStatus(source) if f.getPath().getName().startswith("part-")):
+        to = jvm.org.apache.hadoop.fs.Path(target, f"{at:06d}-{name}")
+        files.rename(jvm.org.apache.hadoop.fs.Path(source, name), to)
+        files.setTimes(to, 1_600_000_000_000 + 60_000 * at, -1)
+        at += 1
+    return at
+
+
+def _end(t, time: str):
+    """A row that lets the watermark pass all before it."""
+    return t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(time).cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+
+
+def _in_order(t) -> str:
+    """The events as files in order of time, and at last a row far in the future that closes all windows. A watermark
+    drops no row of files in this order."""
+    path = f"{_scratch(t)}/in"
+    _ordered(t, _end(t, "2100-01-01"), path, _ordered(t, t.events, path, 0), 1)
+    return path
+
+
 @query(_HOUR)
 def stream_tumbling(t):
     rows = ev.tumbling(ev.stream(t.spark, _source(t), _SCHEMA), "1 hour", "event_type")
@@ -66,10 +96,20 @@ def stream_deduplicated(t):
     return _collected(t, rows, "append", "user_id long").select("user_id")
 
 
+@query("SELECT DISTINCT user_id, date_trunc('hour', ts) AS hour FROM events")
+def stream_deduplicated_hourly(t):
+    """The time is part of the key, so the watermark lets the state of hours gone by go."""
+    rows = ev.stream(t.spark, _in_order(t), _SCHEMA, files=2, delay="1 hour")
+    rows = rows.select(F.window("ts", "1 hour").alias("w"), "user_id").dropDuplicates(["w", "user_id"])
+    out = _collected(t, rows.select("user_id", F.col("w.start").alias("hour")), "append", "user_id long, hour timestamp")
+    return _ntz(out.filter("user_id >= 0").drop("batch"), "hour")
+
+
 @query("SELECT a.user_id, a.ts AS first_ts, b.ts AS then_ts FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
 def stream_join(t):
-    path = _source(t)
-    read = lambda kind: ev.stream(t.spark, path, _SCHEMA, delay="40 days").filter(F.col("event_type") == kind).select("user_id", "ts")
+    """Files come in order, so an hour's delay drops nothing and lets state go that no later row can join."""
+    path = _in_order(t)
+    read = lambda kind: ev.stream(t.spark, path, _SCHEMA, files=2, delay="1 hour").filter(F.col("event_type") == kind).select("user_id", "ts")
     rows = ev.followed(read("view"), read("purchase"), "user_id", "1 HOUR")
     return _ntz(_collected(t, rows, "append", "user_id long, first_ts timestamp, then_ts timestamp").drop("batch"), "first_ts", "then_ts")
 
@@ -95,29 +135,34 @@ def stream_state_v2(t):
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 2).alias("total"))
 
 
-def _in_order(t, parts: int = 4) -> str:
-    """The events as files written one after the other, each later in time than those before it, and at last a row far in
-    the future that closes all windows. A watermark drops no row of files in this order."""
-    path = f"{_scratch(t)}/in"
-    edges = t.events.agg(F.percentile(F.unix_micros(F.col("ts").cast("timestamp")), F.array(*(F.lit(k / parts) for k in range(1, parts)))).alias("e")).first()["e"]
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    for low, high in zip([None, *edges], [*edges, None]):
-        part = t.events if low is None else t.events.filter(at > low)
-        (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(path)
-    last = t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
-    last.coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
 @query(_HOUR)
 def stream_tumbling_append(t):
-    rows = ev.tumbling(ev.stream(t.spark, _in_order(t), _SCHEMA, delay="1 hour"), "1 hour", "event_type")
+    rows = ev.tumbling(ev.stream(t.spark, _in_order(t), _SCHEMA, files=2, delay="1 hour"), "1 hour", "event_type")
     out = _collected(t, rows, "append", "start timestamp, event_type string, n long, total double")
     return _ntz(out.filter("event_type <> 'end'").drop("batch"), "start")
 
 
 @query(ORACLE_SQL["session_windows"])
 def stream_sessions(t):
-    rows = ev.sessions(ev.stream(t.spark, _in_order(t), _SCHEMA, delay="1 hour"), "30 minutes", "user_id")
+    rows = ev.sessions(ev.stream(t.spark, _in_order(t), _SCHEMA, files=2, delay="1 hour"), "30 minutes", "user_id")
     out = _collected(t, rows, "append", "start timestamp, end timestamp, user_id long, n long")
     return _ntz(out.filter("user_id >= 0").drop("batch"), "start", "end")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts >= (SELECT date_trunc('hour', min(ts) + (max(ts) - min(ts)) / 2) FROM events) GROUP BY 1, 2")
+def stream_late_rows(t):
+    """The later half of the events comes first, then rows that move the watermark past the earlier half, whose rows are
+    late when they come and are dropped. A watermark takes effect a batch after the one that moves it."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = F.date_trunc("hour", F.timestamp_micros((F.min(at) + (F.max(at) - F.min(at)) / 2).cast("long"))).cast("timestamp_ntz")
+    rows = t.events.crossJoin(F.broadcast(t.events.agg(middle.alias("middle"))))  # one row
+    later, earlier = rows.filter("ts >= middle").drop("middle"), rows.filter("ts < middle").drop("middle")
+    path = f"{_scratch(t)}/in"
+    n = _ordered(t, later, path, 0, 2)
+    for time in ("2100-01-01", "2100-01-02"):
+        n = _ordered(t, _end(t, time), path, n, 1)
+    n = _ordered(t, earlier, path, n, 2)
+    _ordered(t, _end(t, "2100-01-03"), path, n, 1)
+    found = ev.tumbling(ev.stream(t.spark, path, _SCHEMA, delay="1 hour"), "1 hour", "event_type")
+    out = _collected(t, found, "append", "start timestamp, event_type string, n long, total double")
+    return _ntz(out.filter("event_type <> 'end'").drop("batch"), "start")

@@ -8,7 +8,8 @@ was declared; objects further in are embedded media, whose spans can be carved.
 Texts become media by store(): UTF-8, zero bytes up to a positive multiple of 64, as 8-bit samples of a mono WAV file.
 
 Null texts count as empty (64 zero bytes); empty values have type application/octet-stream; null media give null
-results. Work and memory are bounded by one value; nothing is shuffled. Equal values give equal results.
+results. Memory is bounded by one value, and so is work: what validators walk over is kept for a value's other hits, so
+repeated signatures take linear time. Nothing is shuffled. Equal values give equal results, repeated rows are returned each.
 """
 
 from __future__ import annotations
@@ -51,80 +52,137 @@ BMP_HEADERS = {12, 40, 52, 56, 64, 108, 124}
 Found = tuple[str, int, int]
 
 
-def _png(data: bytes, at: int) -> Found | None:
-    to, first = at + 8, True
-    while to + 12 <= len(data):
+class _Value:
+    """The bytes of one value, and what its validators share: where marks stand, and what walks over it have found. Each
+    place of a walk is visited once however many hits lead to it, so repeated signatures take linear time."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.walks: dict[tuple, object] = {}
+
+    def _positions(self, mark: bytes) -> np.ndarray:
+        return np.array([m.start() for m in re.finditer(re.escape(mark), self.data)], np.int64)
+
+    @functools.cached_property
+    def zeros(self) -> np.ndarray:
+        return np.flatnonzero(np.frombuffer(self.data, np.uint8) == 0)
+
+    @functools.cached_property
+    def ends_of_zip(self) -> np.ndarray:
+        return self._positions(b"PK\x05\x06")
+
+    @functools.cached_property
+    def marks(self) -> np.ndarray:
+        """Where a JPEG mark stands that is no stuffed byte and no restart."""
+        x = np.frombuffer(self.data, np.uint8)
+        after = x[1:]
+        return np.flatnonzero((x[:-1] == 0xFF) & (after != 0) & ~((after >= 0xD0) & (after <= 0xD7)))
+
+    def walk(self, kind: str, state, step):
+        """Follows step() from state to the result that it ends in, and keeps that for all states on the way. step(state)
+        gives (True, next state) or (False, result)."""
+        way = []
+        while (kind, state) not in self.walks:
+            way.append(state)
+            more, state = step(state)
+            if not more:
+                result = state
+                break
+        else:
+            result = self.walks[kind, state]
+        for at in way:
+            self.walks[kind, at] = result
+        return result
+
+
+def _after(places: np.ndarray, at: int) -> int:
+    """The first of the sorted places from `at` on, or -1."""
+    k = int(places.searchsorted(at))
+    return int(places[k]) if k < len(places) else -1
+
+
+def _png(v: _Value, at: int) -> Found | None:
+    data = v.data
+
+    def step(to: int):
+        """From chunk to chunk; the result is the object's end, or None."""
+        if to + 12 > len(data):
+            return False, None
         size, kind = struct.unpack_from(">I4s", data, to)
         end = to + 12 + size
-        if end > len(data) or first and (kind != b"IHDR" or size != 13):
-            return None
+        if end > len(data) or not kind.isalpha() or kind == b"IEND" and size:
+            return False, None
         if zlib.crc32(memoryview(data)[to + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
-            return None
-        if kind == b"IEND":
-            return ("image/png", at, end) if size == 0 else None
-        to, first = end, False
-    return None
+            return False, None
+        return (False, end) if kind == b"IEND" else (True, end)
+
+    if not data.startswith(b"\0\0\0\rIHDR", at + 8):
+        return None
+    end = v.walk("png", at + 8, step)
+    return ("image/png", at, end) if end else None
 
 
-def _jpeg(data: bytes, at: int) -> Found | None:
-    to, frame = at + 2, False
-    while to + 4 <= len(data) and data[to] == 0xFF:
+def _jpeg(v: _Value, at: int) -> Found | None:
+    data = v.data
+
+    def step(state: tuple[int, bool]):
+        """From segment to segment, with whether there was a frame; the result is the object's end, or None."""
+        to, frame = state
+        if to + 4 > len(data) or data[to] != 0xFF:
+            return False, None
         mark = data[to + 1]
         if mark == 0xFF:
-            to += 1
-            continue
-        if mark == 0xD9:
-            return None
-        if mark in (0x00, 0x01, *range(0xD0, 0xD9)):
-            return None
+            return True, (to + 1, frame)
+        if mark in (0x00, 0x01) or 0xD0 <= mark <= 0xD9:
+            return False, None
         size = struct.unpack_from(">H", data, to + 2)[0]
-        if size < 2 or to + 2 + size > len(data):
-            return None
-        frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         to += 2 + size
+        if size < 2 or to > len(data):
+            return False, None
+        frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         if mark != 0xDA:
-            continue
-        if not frame:
-            return None
-        while True:  # entropy-coded data, up to the next mark that isn't a stuffed byte or a restart
-            to = data.find(b"\xff", to)
-            if to < 0 or to + 1 >= len(data):
-                return None
-            if data[to + 1] == 0xD9:
-                return "image/jpeg", at, to + 2
-            if data[to + 1] == 0 or 0xD0 <= data[to + 1] <= 0xD7:
-                to += 2
-            else:
-                break
-    return None
+            return True, (to, frame)
+        # entropy-coded data, up to the next mark
+        to = _after(v.marks, to) if frame else -1
+        if to < 0:
+            return False, None
+        return (False, to + 2) if data[to + 1] == 0xD9 else (True, (to, frame))
+
+    end = v.walk("jpeg", (at + 2, False), step)
+    return ("image/jpeg", at, end) if end else None
 
 
-def _gif(data: bytes, at: int) -> Found | None:
+def _gif(v: _Value, at: int) -> Found | None:
+    data = v.data
     if at + 13 > len(data):
         return None
 
     def colours(flags: int) -> int:
         return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
 
-    def chain(to: int) -> int:
-        while to < len(data) and data[to]:
-            to += 1 + data[to]
-        return to + 1
+    def block(to: int):
+        """From data block to data block; the result is what follows the last."""
+        return (True, to + 1 + data[to]) if to < len(data) and data[to] else (False, to + 1)
 
-    to, images = at + 13 + colours(data[at + 10]), 0
-    while to < len(data):
+    def step(state: tuple[int, bool]):
+        """From part to part, with whether there was an image; the result is the object's end, or None."""
+        to, images = state
+        if to >= len(data):
+            return False, None
         if data[to] == 0x3B:
-            return ("image/gif", at, to + 1) if images else None
+            return False, to + 1 if images else None
         if data[to] == 0x21:
-            to = chain(to + 2)
-        elif data[to] == 0x2C and to + 10 < len(data):
-            to, images = chain(to + 10 + colours(data[to + 9]) + 1), images + 1
-        else:
-            return None
-    return None
+            return True, (v.walk("gif blocks", to + 2, block), images)
+        if data[to] == 0x2C and to + 10 < len(data):
+            return True, (v.walk("gif blocks", to + 10 + colours(data[to + 9]) + 1, block), True)
+        return False, None
+
+    end = v.walk("gif", (at + 13 + colours(data[at + 10]), False), step)
+    return ("image/gif", at, end) if end else None
 
 
-def _bmp(data: bytes, at: int) -> Found | None:
+def _bmp(v: _Value, at: int) -> Found | None:
+    data = v.data
     if at + 26 > len(data):
         return None
     size, reserved, start, header = struct.unpack_from("<IIII", data, at + 2)
@@ -132,68 +190,112 @@ def _bmp(data: bytes, at: int) -> Found | None:
     return ("image/bmp", at, at + size) if ok else None
 
 
-def _riff(data: bytes, at: int) -> Found | None:
-    if at + 12 > len(data):
+def _riff(v: _Value, at: int) -> Found | None:
+    data = v.data
+    if at + 20 > len(data):
         return None
     size, kind = struct.unpack_from("<I4s", data, at + 4)
-    end, to, chunks = at + 8 + size, at + 12, []
-    if kind not in RIFF_TYPES or end > len(data):
+    end = at + 8 + size
+    if kind not in RIFF_TYPES or end > len(data) or at + 20 > end:
         return None
-    while to + 8 <= end:
+
+    def step(state: tuple[int, int]):
+        """From chunk to chunk up to this object's end, with which of two names were seen; the result is the last state."""
+        to, seen = state
+        if to + 8 > end:
+            return False, state
         name, length = struct.unpack_from("<4sI", data, to)
-        to += 8 + length + (length & 1)
-        chunks.append(name)
-        if to > end + 1:
-            return None
-    whole = to >= end and (kind != b"WAVE" or b"fmt " in chunks and b"data" in chunks)
-    return (RIFF_TYPES[kind], at, end) if whole and chunks else None
+        return True, (to + 8 + length + (length & 1), seen | (name == b"fmt ") | (name == b"data") << 1)
 
+    to, seen = v.walk(f"riff {end}", (at + 12, 0), step)
+    return (RIFF_TYPES[kind], at, end) if end <= to <= end + 1 and (kind != b"WAVE" or seen == 3) else None
 
-def _ogg(data: bytes, at: int) -> Found | None:
-    to, first, end = at, True, -1
-    while data.startswith(b"OggS", to) and to + 27 <= len(data):
-        version, kind, count = data[to + 4], data[to + 5], data[to + 26]
-        body = to + 27 + count
-        if version or body > len(data) or first != bool(kind & 2) and first:
-            return None
-        to, first = body + sum(data[to + 27 : body]), False
-        if to > len(data):
-            return None
-        if kind & 4:
-            end = to
-            break
-    return ("audio/ogg", at, end) if end > 0 else None
 
+def _ogg(v: _Value, at: int) -> Found | None:
+    data = v.data
 
-def _mp4(data: bytes, at: int) -> Found | None:
-    to, kinds = at, set()
-    while to + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, to)
-        if kind not in MP4_BOXES:
-            break
+    def step(to: int):
+        """From page to page; the result is the end of the stream, or None."""
+        if not data.startswith(b"OggS", to) or to + 27 > len(data):
+            return False, None
+        body = to + 27 + data[to + 26]
+        if data[to + 4] or body > len(data):
+            return False, None
+        end = body + sum(data[to + 27 : body])
+        if end > len(data):
+            return False, None
+        return (False, end) if data[to + 5] & 4 else (True, end)
+
+    if at + 27 > len(data) or not data[at + 5] & 2:
+        return None
+    end = v.walk("ogg", at, step)
+    return ("audio/ogg", at, end) if end else None
+
+
+def _mp4(v: _Value, at: int) -> Found | None:
+    data = v.data
+
+    def step(state: tuple[int, bool]):
+        """From box to box, with whether one held media; the result is the object's end, or None."""
+        to, media = state
+        kind = data[to + 4 : to + 8]
+        if to + 8 > len(data) or kind not in MP4_BOXES:
+            return False, to if media else None
+        size = struct.unpack_from(">I", data, to)[0]
         if size == 1 and to + 16 <= len(data):
             size = struct.unpack_from(">Q", data, to + 8)[0]
         if size < 8 or to + size > len(data):
-            return None
-        to += size
-        kinds.add(kind)
-    return ("video/mp4", at, to) if kinds & {b"moov", b"moof", b"mdat", b"meta"} else None
+            return False, None
+        return True, (to + size, media or kind in (b"moov", b"moof", b"mdat", b"meta"))
 
+    end = v.walk("mp4", (at, False), step)
+    return ("video/mp4", at, end) if end else None
 
-def _gzip(data: bytes, at: int) -> Found | None:
-    unzip, rest = zlib.decompressobj(31), data[at:]
-    try:
-        while not unzip.eof:
-            if not unzip.decompress(rest, 1 << 20) and not unzip.unconsumed_tail and not unzip.eof:
+
+def _gzip(v: _Value, at: int) -> Found | None:
+    """The header is read here, so that what many hits have in common, where a name or the data begins, is done once."""
+    data = v.data
+    if at + 18 > len(data) or data[at + 3] & 0xE0:
+        return None
+    flags, to = data[at + 3], at + 10
+    if flags & 4:
+        to += 2 + struct.unpack_from("<H", data, to)[0]
+    for flag in (8, 16):
+        if flags & flag:
+            to = _after(v.zeros, to) + 1
+            if to == 0:
                 return None
-            rest = unzip.unconsumed_tail if not unzip.eof else b""
-    except zlib.error:
+    if flags & 2:
+        if to + 2 > len(data) or struct.unpack_from("<H", data, to)[0] != zlib.crc32(memoryview(data)[at:to]) & 0xFFFF:
+            return None
+        to += 2
+
+    def inflate(to: int):
+        """The result is the end of the compressed data with its checksum and length, or None."""
+        unzip, rest, check, size = zlib.decompressobj(-15), memoryview(data)[to:], 0, 0
+        try:
+            while not unzip.eof:
+                # in stretches, as what is left over is copied
+                piece = unzip.decompress(unzip.unconsumed_tail or rest[:65536], 1 << 20)
+                if not unzip.unconsumed_tail:
+                    rest = rest[65536:]
+                check, size = zlib.crc32(piece, check), size + len(piece)
+                if not unzip.eof and not unzip.unconsumed_tail and not len(rest):
+                    return False, None
+        except zlib.error:
+            return False, None
+        end = len(data) - len(rest) - len(unzip.unused_data)
+        ok = end + 8 <= len(data) and struct.unpack_from("<II", data, end) == (check, size & 0xFFFFFFFF)
+        return False, end + 8 if ok else None
+
+    if to >= len(data):
         return None
-    return "application/gzip", at, len(data) - len(unzip.unused_data)
+    end = v.walk("gzip", to, inflate)
+    return ("application/gzip", at, end) if end else None
 
 
-def _zip(data: bytes, at: int) -> Found | None:
-    to = data.find(b"PK\x05\x06", at)
+def _zip(v: _Value, at: int) -> Found | None:
+    data, to = v.data, _after(v.ends_of_zip, at)
     if to < 0 or to + 22 > len(data):
         return None
     size, start, comment = struct.unpack_from("<IIH", data, to + 12)
@@ -202,10 +304,15 @@ def _zip(data: bytes, at: int) -> Found | None:
     return ("application/zip", at, end) if ok else None
 
 
-def _pdf(data: bytes, at: int) -> Found | None:
+_VERSION = re.compile(rb"\d\.\d")
+
+
+def _pdf(v: _Value, at: int) -> Found | None:
+    """Up to the last end mark before the next document's head, so each stretch is read once."""
+    data = v.data
     following = data.find(b"%PDF-", at + 5)
     end = data.rfind(b"%%EOF", at, following if following > 0 else len(data))
-    ok = re.compile(rb"\d\.\d").match(data, at + 5) and end > 0 and data.find(b"obj", at, end) > 0
+    ok = _VERSION.match(data, at + 5) and end > 0 and data.find(b"obj", at, end) > 0
     return ("application/pdf", at, end + 5) if ok else None
 
 
@@ -225,8 +332,9 @@ def _automaton():
 
 def sniff(data: bytes) -> list[Found]:
     """(type, start, end) of every validated object in data, by start."""
+    value = _Value(data)
     hits = _automaton().iter(data.decode("latin-1"))
-    found = (VALIDATORS[kind](data, last - back) for last, (kind, back) in hits if last >= back)
+    found = (VALIDATORS[kind](value, last - back) for last, (kind, back) in hits if last >= back)
     return sorted({x for x in found if x}, key=lambda x: (x[1], -x[2], x[0]))
 
 

@@ -13,13 +13,12 @@ no clean one. Each toxic text has the same weight. Units of clean texts are nega
 that the machine holds for worst. The rest stay unlabelled.
 Landmarks are positives far from each other and the negatives nearest to them. A linear machine with
 squared hinge loss is trained on the landmark features. As every such feature is linear in a unit's subsequences, the
-machine is a table of weights by subsequence, an offset, and the unit's norm, which is only worked out where the
-decision can be above a floor. A text's score is a logistic function, fitted on the sample, of its two highest
-units.
+machine is a table of weights by subsequence, an offset, and the unit's norm. A text's score is a logistic function,
+fitted on the sample, of the decisions for its two highest units (one that occurs twice is two).
 
-Null, empty and letterless texts count as a text without any unit: they score like the least toxic unit. Without any
-toxic or any clean label the score is 0 or 1. Texts are read whole; equal texts get equal scores; an empty table gives
-no rows.
+Where a text has fewer units, null, empty and letterless ones included, the offset, which is the decision for a unit that
+shares nothing with any landmark, takes their place. Without any toxic or any clean label the score is 0 or 1. Texts are
+read whole; equal texts get equal scores, repeated rows are returned each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,10 +39,10 @@ from lakeloom.llm.common import materialise
 from lakeloom.llm.langid import mix
 
 DECAY, SPAN = 0.6, 6
-#: Decisions below this (or just above the offset, if that is higher), deep on the clean side of the margin, count as it.
-FLOOR = -0.5
-#: Letters of a unit that count, from its start on; pieces of longer ones overlap, so no letter is left out.
+#: Letters of a unit at most; pieces of longer ones overlap, so no letter is left out.
 PIECE, OVERLAP = 40, 8
+#: Letters whose subsequences are worked out at once.
+_AT_ONCE = 100_000
 #: Hash functions that tell near copies.
 HASHES = 64
 #: A telling unit's rate in toxic texts is so many times that in clean ones; the chance that one is so by accident.
@@ -126,6 +125,36 @@ def near_copies(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def _triples(points: np.ndarray, of: np.ndarray) -> Iterator[tuple[np.ndarray, float, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each way to span three letters of one unit: that unit, the weight, and the three letters, of all places."""
+    for a, b in _STEPS:
+        c = a + b
+        if len(points) > c:
+            at = np.flatnonzero(of[:-c] == of[c:])
+            yield of[at], DECAY ** (c + 1), points[at], points[at + a], points[at + c]
+
+
+def norms(points: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
+    """norm(subsequences(unit)) of each of `count` units, whose letters are numbered from 0 on."""
+    out, kinds = np.zeros(count), int(points.max(initial=0)) + 1
+    first, start = np.searchsorted(of, np.arange(count + 1)), 0
+    most = max(1, (1 << 62) // kinds**3)  # units whose keys fit a long
+    while start < count:
+        end = max(start + 1, min(count, start + most, int(np.searchsorted(first, first[start] + _AT_ONCE, "right")) - 1))
+        part = slice(first[start], first[end])
+        rows = [(((u - start) * kinds + x) * kinds + y) * kinds + z for u, _, x, y, z in _triples(points[part], of[part])]
+        weights = [np.full(len(u), w) for u, w, *_ in _triples(points[part], of[part])]
+        if rows and sum(map(len, rows)):
+            key = np.concatenate(rows)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            each = np.add.reduceat(np.concatenate(weights)[order], begin)
+            out[start:end] = np.bincount(key[begin] // kinds**3, each * each, end - start)
+        start = end
+    return np.sqrt(out)
+
+
 @dataclass
 class Model:
     letters: str  # in the order of the table's axes, from 1 on; 0 is any other letter
@@ -135,48 +164,38 @@ class Model:
     shift: float = 0.0
     constant: float | None = None
 
-    @property
-    def floor(self) -> float:
-        return max(FLOOR, self.offset + 0.05)
-
     def decide(self, found: list[str]) -> np.ndarray:
         """The machine's decision for each unit."""
-        floor = self.floor
-        out = np.full(len(found), floor)
         if not found:
-            return out
+            return np.zeros(0)
+        points = np.frombuffer("".join(found).encode("utf-32-le"), "<u4").astype(np.int64)
+        of = np.repeat(np.arange(len(found)), [len(u) for u in found])
         code = np.zeros(0x110000, np.int64)
         code[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
-        sizes = np.array([len(u) for u in found])
-        points = code[np.frombuffer("".join(found).encode("utf-32-le"), "<u4")]
-        of = np.repeat(np.arange(len(found)), sizes)
         total, flat, n = np.zeros(len(found)), self.table.ravel(), len(self.letters) + 1
-        for a, b in _STEPS:
-            c = a + b
-            if len(points) <= c:
-                continue
-            first, second, third = points[:-c], points[a : len(points) - b], points[c:]
-            at = np.flatnonzero((of[:-c] == of[c:]) & (first > 0) & (second > 0) & (third > 0))
-            total += np.bincount(of[at], flat[(first[at] * n + second[at]) * n + third[at]] * DECAY ** (c + 1), len(found))
-        # A norm is at least that of a unit of this length without repeated subsequences. Only units that could pass the
-        # floor with that norm get their own.
-        least = np.sqrt(sum(np.maximum(0, sizes - a - b) * DECAY ** (2 * (a + b + 1)) for a, b in _STEPS))
-        for k in np.flatnonzero(total > (floor - self.offset) * least):
-            out[k] = max(floor, total[k] / max(1e-12, norm(subsequences(found[k]))) + self.offset)
-        return out
+        for u, w, x, y, z in _triples(code[points], of):
+            total += np.bincount(u, flat[(x * n + y) * n + z] * w, len(found))
+        present = np.zeros(0x110000, bool)
+        present[points] = True
+        number = np.cumsum(present) - 1
+        return total / np.maximum(1e-12, norms(number[points], of, len(found))) + self.offset
 
     def highest(self, texts: pa.Array) -> np.ndarray:
         """The highest and the second highest decision among each text's units, as two columns."""
         found, unit, text = units(texts)
-        out = np.full((len(texts), 2), self.floor)
+        out = np.full((len(texts), 2), self.offset)
         if len(unit):
-            decision = self.decide(found)[unit]
-            at = np.flatnonzero(decision > self.floor)
-            at = at[np.lexsort((decision[at], text[at]))]
-            last = np.append(np.flatnonzero(np.diff(text[at])), len(at) - 1) if len(at) else at
-            out[text[at[last]], 0] = decision[at[last]]
-            two = last[(last > 0) & (text[at[last - 1]] == text[at[last]])]
-            out[text[at[two]], 1] = decision[at[two - 1]]
+            decision = self.decide(found)
+            # by text, then decision
+            order = np.argsort(decision, kind="stable")
+            place = np.empty(len(found), np.int64)
+            place[order] = np.arange(len(found))
+            key = np.sort(text * len(found) + place[unit])
+            text, decision = key // len(found), decision[order][key % len(found)]
+            last = np.append(np.flatnonzero(text[1:] != text[:-1]), len(text) - 1)
+            out[text[last], 0] = decision[last]
+            two = last[(last > 0) & (text[last - 1] == text[last])]
+            out[text[two], 1] = decision[two - 1]
         return out
 
     def score(self, texts: pa.Array) -> np.ndarray:

@@ -28,18 +28,26 @@ def texts():
 # --- 1: chat formatting ---
 
 
+def tokens(data):
+    return np.frombuffer(data, "<u4")
+
+
 def test_chat_round_trip_and_sharing(spark):
     rows = [(c, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " + ("same" if k < 3 else str(c % 4))) for c in range(60) for k in range(5)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat_format.format_conversations(df).collect()
+    codec = byte_bpe.codec(chat_format.VOCABULARY)
     for s in made:
-        assert len(set((n.parent, s.text[n.start : n.end]) for n in s.nodes)) == len(s.nodes)  # shared turns once
+        ids, positions = tokens(s.ids), tokens(s.positions)
+        assert len(set((n.parent, codec.decode(ids[n.start : n.end])) for n in s.nodes)) == len(s.nodes)  # shared turns once
+        assert [n.start for n in s.nodes] + [len(ids)] == [0] + [n.end for n in s.nodes] and len(positions) == len(ids)
         for n in s.nodes:
             way, at = [], n.parent
             while at >= 0:
                 way.append(s.nodes[at])
                 at = s.nodes[at].parent
             assert n.position == sum(x.end - x.start for x in way)
+            assert positions[n.start : n.end].tolist() == list(range(n.position, n.position + n.end - n.start))
             assert sorted(x for a in n.attends for x in range(a.start, a.end)) == sorted(x for w in way for x in range(w.start, w.end))
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
     for c in range(60):
@@ -49,13 +57,31 @@ def test_chat_round_trip_and_sharing(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_of_any_length(spark):
+    """Conversations longer than a sequence go in parts and come back whole; one text longer than all is one part."""
+    r = random.Random(8)
+    rows = [(1, k, r.choice(["user", "assistant"]), prose(k, r.randint(0, 40))) for k in range(400)] + [(2, 0, "assistant", prose(1, 20_000))]
+    rows += [(c, k, "user", prose(k % 3, 10)) for c in (3, 4) for k in range(20)] + [(None, k, None, prose(k, 9)) for k in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat_format.format_conversations(df, most=2000).cache()
+    assert made.selectExpr("explode(conversations) c").filter("c.conv_id = 1").count() > 5
+    got = {x.conv_id: x for x in chat_format.read_back(made).collect()}
+    assert set(got) == {1, 2, 3, 4, None}
+    for c in got:
+        own = [(role or "", t or "") for i, _, role, t in rows if i == c]
+        said, loss = "".join(f"{role}\n{t}\n" for role, t in own), "".join(t for role, t in own if role == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c].formatted_chars == sum(len("".join(chat_format.format_turn(*x))) for x in own)
+
+
 def test_escapes_reverse():
     r = random.Random(0)
     for _ in range(3000):
         role, text = ("".join(r.choice(["#", "\\", "</turn>", ":", " ", "\n", "a", "### ", "<"]) for _ in range(r.randint(0, 9))) for _ in range(2))
-        formatted, a, b = chat_format.format_turn(role, text)
-        assert list(chat_format.unformat(formatted * 2)) == [(role, text)] * 2
-        assert chat_format.unescape(formatted[a:b]) == text
+        head, body, end = chat_format.format_turn(role, text)
+        assert list(chat_format.unformat((head + body + end) * 2)) == [(role, text)] * 2
+        assert chat_format.unescape(body) == text
 
 
 # --- 2: exact top-k ---
@@ -75,15 +101,52 @@ def test_top_k_equals_brute_force(spark, chunk, block, stretch):
     assert got == sorted(want)
 
 
+def searched(x, q, k, block, stretch=16_384):
+    """A search whose results are right, as it has been left."""
+    s = exact_topk.Search(np.arange(len(q)) * 20, q, k, block)
+    for at in range(0, len(x), stretch):
+        s.add(np.arange(at, min(len(x), at + stretch)), x[at : at + stretch])
+    score = (q @ x.T).astype(np.int64)
+    for i in range(len(q)):
+        want = sorted((-v, j) for j, v in enumerate(score[i].tolist()) if j != 20 * i)[:k]
+        mine = s.rows == i
+        assert [(-a, b) for a, b in zip(s.best[mine].tolist(), s.found[mine].tolist())] == want
+    return s
+
+
 def test_blocks_are_pruned():
     r = np.random.default_rng(1)
     centre = r.normal(size=(8, 16)) * 20
     x = np.floor(np.repeat(centre, 500, axis=0) + r.normal(size=(4000, 16)))
-    s = exact_topk.Search(np.arange(8), x[::500], 5, 64)
-    s.add(np.arange(4000), x)
+    s = searched(x, x[::20][:40], 5, 64)
+    assert s.scored < 0.5 * s.possible
+
+
+def test_vectors_are_pruned_in_their_blocks():
+    """Vectors whose terms vary alike defeat bounds of blocks; of the real ones, and of some whose terms fade, most are
+    done with after their first terms."""
+    r = np.random.default_rng(2)
+    fading = np.floor(64 * r.normal(size=(8000, 64)) * 0.9 ** np.arange(64))
+    assert searched(fading, fading[::20], 20, 256).scored < 0.1 * 400 * 8000
+    real = np.array(duckdb.sql("SELECT embedding FROM '/root/testdata/check_l/embeddings.parquet' WHERE len(embedding) = 64 ORDER BY vec_id").fetchnumpy()["embedding"].tolist(), np.float64)
+    real = np.floor(64 * real)
+    s = searched(real, real[::20][:200], 20, 256)
     assert s.scored < 0.5 * s.possible
 
 
+def test_top_k_of_large_numbers():
+    """Sums that single or double precision can't hold exactly."""
+    r = np.random.default_rng(3)
+    for size in (2**11, 2**25):
+        x = r.integers(-size, size, (300, 8)).astype(np.float64)
+        s = exact_topk.Search(np.arange(10) * 20, x[:200:20], 7, 16)
+        s.add(np.arange(300), x)
+        whole = [[int(v) for v in row] for row in x]
+        for i in range(10):
+            want = sorted((-sum(a * b for a, b in zip(whole[20 * i], whole[j])), j) for j in range(300) if j != 20 * i)[:7]
+            assert [(-a, b) for a, b in zip(s.best[s.rows == i].tolist(), s.found[s.rows == i].tolist())] == want
+
+
 # --- 3: n-gram Jaccard join ---
 
 
@@ -174,6 +237,21 @@ def test_components(spark):
     assert {x.node: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Of a chain of 1,000 rising ids, as versions of a page give, and of a star."""
+    rounds = []
+    real = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: rounds.append(name) or real(df, name))
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1000)], "a long, b long")
+    assert {x.component for x in components.components(chain).collect()} == {0}
+    assert rounds.count("to") <= 15
+    rounds.clear()
+    star = spark.createDataFrame([(500, k) for k in range(1000)] + [(None, 3), (4, None), (7, 7)], "a long, b long")
+    assert {x.component for x in components.components(star).collect()} == {0}
+    assert rounds.count("to") <= 3
+    assert components.components(star.limit(0)).count() == 0
+
+
 # --- 4: media ---
 
 
@@ -211,11 +289,50 @@ def test_sniffing_corrects_and_carves(spark):
     assert sorted(bytes(c.bytes) for c in carved) == sorted([GIF, GZIP])
 
 
+SIGNATURES = [*media.MAGIC, GIF[:13] + b"!\xfe", b"\x1f\x8b\x08\0aaaaaa", b"PK\x03\x04PK\x05\x06" + bytes(18), b"OggS\0\2" + bytes(20) + b"\0", b"\0\0\0\x10ftypabcdabcd", b"RIFF\xff\xff\0\0WAVE", b"%PDF-1.4 obj %%EOF", b"\xff\xd8\xff\xe0\0\x0cabcdefghij"]
+
+
+@pytest.mark.parametrize("signature", SIGNATURES)
+def test_sniffing_is_linear(signature):
+    """A megabyte of nothing but signatures, or of heads that lead through each other, takes about a second at most."""
+    import time
+
+    data = signature * (1_000_000 // len(signature))
+    began = time.process_time()
+    media.sniff(data)
+    assert time.process_time() - began < 2.5
+
+
+def test_walks_don_t_change_what_is_found():
+    """Objects after, between and within broken ones, against sniffing each place by itself."""
+    r = random.Random(11)
+    whole = [GIF, JPEG, BMP, GZIP, png(bytes(64)), media.to_wav(b"ab" * 32), b"%PDF-1.4\n1 0 obj\n%%EOF", b"OggS\0\6" + bytes(20) + b"\1\3abc", struct.pack(">I4s", 16, b"ftyp") + b"abcdabcd" + struct.pack(">I4s", 8, b"mdat")]
+    found = 0
+    for _ in range(300):
+        data = bytearray(b"".join(r.choice(whole) + bytes(r.randrange(3)) for _ in range(r.randint(1, 6))))
+        for _ in range(r.randint(0, 3)):
+            data[r.randrange(len(data))] = r.randrange(256)
+        data = bytes(data)
+        each = set()
+        for at in range(len(data)):
+            # each hit with nothing kept from others
+            each |= {v for kind, v in ((k, media.VALIDATORS[k](media._Value(data), at)) for m, (k, back) in media.MAGIC.items() if data.startswith(m, at + back)) if v}
+        assert set(media.sniff(data)) == each
+        found += len(each)
+    assert found > 500
+
+
 def test_media_query_reads_back_the_payload(spark, texts):
     for r in Q.op4_media_columns(spark, SF).collect():
         data = texts[r.doc_id].encode()
         padded = data + bytes(-len(data) % 64 or 64 * (not data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        counts, n = collections.Counter(padded), len(padded)
+        entropy = -sum(c / n * np.log2(c / n) for c in counts.values())
+        want = {"samples": n, "mean": round(sum(padded) / n, 3), "entropy": round(entropy, 4), "distinct": len(counts), "embedded": r.n_embedded}
+        kind, *rest = r.feature.split(";")
+        got = {k: float(v) for k, v in (x.split("=") for x in rest)}
+        assert kind == r.media_type == "audio/wav" and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-3 for k in got)
 
 
 # --- 5: packing ---
@@ -366,6 +483,42 @@ def test_toxicity_counts_near_copies_once():
     assert keys[30] == keys[0] and keys[31] == keys[1] and len(set(keys.tolist())) == 31
 
 
+def test_decisions_equal_the_kernel(monkeypatch):
+    """decide() against the sum over landmarks, and highest() against each unit by itself, in stretches of any size."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdeéß一", k=r.randint(3, 14)))
+    positive, negative = [word() for _ in range(12)], [word() for _ in range(30)]
+    model = toxicity.train(positive, negative)
+    probe = [*positive, *negative, *(word() for _ in range(200)), "zzzz", "aaaaaaaaaaaaaaaaaaaaaaaa", "\U0001d538bc"]
+
+    def naive(u):
+        found, place = toxicity.subsequences(u), {c: k + 1 for k, c in enumerate(model.letters)}
+        total = sum(w * model.table[tuple(place[c] for c in x)] for x, w in found.items() if all(c in place for c in x))
+        return total / max(1e-12, toxicity.norm(found)) + model.offset
+
+    want = [naive(u) for u in probe]
+    for size in (100_000, 20):
+        monkeypatch.setattr(toxicity, "_AT_ONCE", size)
+        assert np.allclose(model.decide(probe), want)
+    texts = [" ".join(r.choices(probe, k=r.randint(0, 9))) for _ in range(60)] + [None, "", "1 2", "ab", positive[0], f"{positive[0]} {positive[0]}"]
+    for got, text in zip(model.highest(pa.array(texts)), texts):
+        each = sorted((naive(u) for w in (text or "").lower().split() for u in toxicity.cut("".join(filter(str.isalpha, w))) if len(u) > 2), reverse=True)
+        assert np.allclose(got, (each + [model.offset] * 2)[:2])
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Recall and precision on labels the model hasn't seen, English texts apart from others."""
+    sf = "/root/testdata/sf0.1"
+    labels = {i: (lang, bool(t)) for i, lang, t in duckdb.sql(f"SELECT doc_id, lang, toxic FROM '{sf}/labels.parquet' JOIN '{sf}/documents.parquet' USING (doc_id)").fetchall()}
+    rows = [(r.predicted, r.score, *labels[r.doc_id]) for r in Q.op10_toxicity(spark, sf).filter("held_out").collect() if r.doc_id in labels]
+    for english in (True, False):
+        own = [(p, s, t) for p, s, lang, t in rows if (lang == "en") == english]
+        bad, good = [(p, s) for p, s, t in own if t], [(p, s) for p, s, t in own if not t]
+        above = sum((s > x) + 0.5 * (s == x) for _, s in bad for _, x in good) / len(bad) / len(good)
+        said = (english, len(bad), sum(p for p, _ in bad), len(good), sum(p for p, _ in good), above)
+        assert sum(p for p, _ in bad) >= 0.85 * len(bad) and sum(p for p, _ in good) <= 0.03 * len(good) and above > 0.93, said
+
+
 def test_toxicity_without_a_class(spark):
     docs = documents(spark, [(1, "abc")])
     none = spark.createDataFrame([], "doc_id long, toxic int")

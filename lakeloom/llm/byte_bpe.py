@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import documents
+from lakeloom.llm.common import documents, give_back
 
 #: Two white spaces in a row, or a zero character: such texts are encoded whole.
 _ODD = r"[\s\v\x1c-\x1f\x{85}\x{180e}\p{Z}]{2}|\x00"
@@ -160,8 +160,9 @@ def codec(name: str) -> Codec:
     return _CODECS[name]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about so many bytes of the column, one row at least: bounds what Python holds at once."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about so many bytes of the column, one row at least: bounds what Python holds at once. After
+    the last, memory that was freed goes back to the system."""
     array = batch.column(batch.schema.get_field_index(column))
     lengths = np.asarray(pc.fill_null(pc.binary_length(array), 0)).astype("f8")
     at, ends = 0, np.cumsum(lengths)
@@ -170,6 +171,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 12_000_000) -> Iterat
         to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def encode(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken", *, decode: bool = False, offsets: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

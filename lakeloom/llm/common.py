@@ -6,40 +6,31 @@ names clash with those it makes, never reach it) and returns a new DataFrame.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for tests)
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from lakeloom.sources.scratch import materialise, release, shared_dir
 
+__all__ = ["documents", "give_back", "id_bucket", "materialise", "partitions", "release", "shared_dir", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lakeloom-"))
-    return found.rstrip("/")
 
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library than glibc
+        return lambda pad: 0
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there and lost executors cost nothing.
 
-    The folder outlives the call, as the result is lazy; release() removes what a session wrote.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all that materialise() wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lakeloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def give_back() -> None:
+    """Returns memory that was freed to the system. Python workers outlive tasks, so what each of them held at its peak
+    would add up in an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

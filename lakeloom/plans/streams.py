@@ -149,6 +149,14 @@ def stream_sessions(t):
     return _ntz(out.filter("user_id >= 0").drop("batch"), "start", "end")
 
 
+@query(ORACLE_SQL["session_windows"])
+def stream_state_timeout(t):
+    """Sessions in custom state that times out."""
+    rows = ev.closing_sessions(ev.stream(t.spark, _in_order(t), _SCHEMA, files=2, delay="1 hour"), 30 * 60_000_000, "user_id")
+    out = _collected(t, rows, "append", "start timestamp, end timestamp, user_id long, n long")
+    return _ntz(out.filter("user_id >= 0").drop("batch"), "start", "end")
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts >= (SELECT date_trunc('hour', min(ts) + (max(ts) - min(ts)) / 2) FROM events) GROUP BY 1, 2")
 def stream_late_rows(t):
     """The later half of the events comes first, then rows that move the watermark past the earlier half, whose rows are

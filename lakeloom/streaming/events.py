@@ -58,6 +58,33 @@ def running_totals(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(add, out, "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def closing_sessions(df: DataFrame, gap: int, key: str) -> DataFrame:
+    """Sessions as sessions() gives them, held as custom state: a key's open session goes out, and its state goes, once the
+    watermark has passed the gap, in microseconds, after its last event. Needs a watermark on ts and no late events."""
+
+    def add(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begin, last, n = state.get if state.exists else (0, 0, 0)
+        closed: list[tuple] = []
+        if state.hasTimedOut:
+            closed.append((group[0], begin, last, n))
+            state.remove()
+        else:
+            times = sorted(t for rows in batches for t in rows["us"].tolist())
+            for t in times:
+                if n and t - last >= gap:
+                    closed.append((group[0], begin, last, n))
+                    n = 0
+                begin, last, n = (begin if n else t), max(last, t) if n else t, n + 1
+            state.update((begin, last, n))
+            # no timeout lies before the watermark
+            state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(closed, columns=[key, "begin", "last", "n"])
+
+    out = f"{key} {df.schema[key].dataType.simpleString()}, begin long, last long, n long"
+    found = df.withColumn("us", F.unix_micros("ts")).groupBy(key).applyInPandasWithState(add, out, "begin long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.timestamp_micros("begin").alias("start"), F.timestamp_micros(F.col("last") + gap).alias("end"), key, "n")
+
+
 class _Totals(StatefulProcessor):
     """The count and sum so far of a key, in a value state."""
 

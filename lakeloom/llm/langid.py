@@ -74,8 +74,8 @@ def grams(points: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[tupl
             h = (h + part + np.uint64(1)) * _ODD
             if 0 < k < n - 1:
                 inside &= part > 0
-        # a border alone is no n-gram: of two characters one must be a letter
-        inside &= (wide[:count] > 0) | (wide[n - 1 : n - 1 + count] > 0)
+        if n < 3:  # a border alone is no n-gram; a short word with both its borders is one
+            inside &= (wide[:count] > 0) | (wide[n - 1 : n - 1 + count] > 0)
         at = np.flatnonzero(inside)
         yield at, mix(h[at])
 

@@ -157,7 +157,7 @@ ORACLE_SQL: dict[str, str] = {
                    list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS s
             FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m)
         ), b AS (
-            SELECT t, kind, o, val, CAST(s AS BIGINT) AS s, CAST(s + length(val) AS BIGINT) AS e FROM p
+            SELECT t, kind, o, val, digits, CAST(s AS BIGINT) AS s, CAST(s + length(val) AS BIGINT) AS e FROM p
             WHERE CASE kind
                 WHEN 'email' THEN true
                 WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
@@ -166,28 +166,37 @@ ORACLE_SQL: dict[str, str] = {
                     CASE WHEN k % 2 = 1 THEN CAST(reverse(digits)[k] AS INTEGER)
                          ELSE 2 * CAST(reverse(digits)[k] AS INTEGER) - 9 * CAST(CAST(reverse(digits)[k] AS INTEGER) > 4 AS INTEGER) END)) % 10 = 0 END
         ), c AS (
-            SELECT t, kind || ':' || lower(val) AS entity, greatest(0, s - 80) AS lf, e AS rf,
-                   substring(t, greatest(0, s - 80) + 1, s - greatest(0, s - 80)) AS l, substring(t, e + 1, 80) AS r FROM b
-        ), sides AS (
-            SELECT t, entity, l, r, lf AS off, l AS x, lf > 0 AS cut_first, false AS cut_last FROM c
-            UNION ALL SELECT t, entity, l, r, rf, r, false, length(r) = 80 FROM c
-        ), w AS (
-            SELECT t, entity, l, r, off, x, cut_first, cut_last, v[i] AS word,
-                   list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda y: length(y))), 0) AS s
-            FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM (SELECT *, regexp_extract_all(x, '[\p{L}\p{N}]+') AS v, regexp_split_to_array(x, '[\p{L}\p{N}]+') AS g FROM sides))
-        ), near AS (
-            SELECT t, entity, l, r, lower(word) AS term, CAST(off + s AS BIGINT) AS s, CAST(off + s + length(word) AS BIGINT) AS e FROM w
-            WHERE regexp_full_match(word, '\p{L}{3,}') AND NOT (cut_first AND s = 0) AND NOT (cut_last AND s + length(word) = length(x))
-        ), n_et AS (SELECT entity, term, count(DISTINCT (l, r)) AS n_et FROM near GROUP BY 1, 2 HAVING count(DISTINCT (l, r)) >= 3),
-        n_e AS (SELECT entity, count(DISTINCT (l, r)) AS n_e FROM c GROUP BY 1),
-        n_t AS (
-            SELECT term, count(*) AS n_t FROM (SELECT DISTINCT t, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS term FROM texts)
-            WHERE term IN (SELECT term FROM n_et) GROUP BY 1
+            SELECT t, s, e, val, kind || ':' || CASE kind WHEN 'email' THEN lower(val) WHEN 'ip' THEN val ELSE digits END AS entity FROM b
+            UNION ALL
+            SELECT t, s, e, val, kind || '~' || CASE kind WHEN 'email' THEN lower(split_part(val, '@', -1)) WHEN 'ip' THEN regexp_extract(val, '^[0-9]+\.[0-9]+')
+                                                          WHEN 'card' THEN left(digits, 6) ELSE left(digits, 4) END FROM b
+        ), ents AS (SELECT DISTINCT t, entity FROM c),
+        n_e AS (SELECT entity, count(*) AS n_e FROM ents GROUP BY 1),
+        words AS (
+            SELECT t, term FROM (SELECT DISTINCT t, unnest(regexp_extract_all(lower(regexp_replace(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', '0', 'g')), '[\p{L}\p{N}]+')) AS term FROM texts)
+            WHERE regexp_full_match(term, '\p{L}{3,}')
+        ), n_t AS (SELECT term, count(*) AS n_t FROM words GROUP BY 1),
+        n_et AS (SELECT entity, term, n_e, count(*) AS n_et FROM ents JOIN n_e USING (entity) JOIN words USING (t) WHERE n_e >= 3 GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+        near AS (
+            SELECT DISTINCT t, entity, unnest(regexp_extract_all(lower(concat_ws(chr(10),
+                       CASE WHEN s > 80 THEN regexp_replace(substring(t, s - 79, 80), '^[\p{L}\p{N}]+', '') ELSE substring(t, 1, s) END, val,
+                       CASE WHEN e + 80 <= length(t) THEN regexp_replace(substring(t, e + 1, 80), '[\p{L}\p{N}]+$', '') ELSE substring(t, e + 1, 80) END)), '[\p{L}\p{N}]+')) AS term FROM c
         ), told AS (
-            SELECT entity, term FROM n_et JOIN n_e USING (entity) JOIN n_t USING (term), (SELECT count(*) AS n FROM texts) WHERE n_e < n AND log2(n * n_et / (n_e * n_t)) / log2(n / n_e) >= 0.7
+            SELECT entity, term FROM n_et JOIN n_t USING (term), (SELECT count(*) AS n FROM texts)
+            WHERE n_e < n AND log2(n * n_et / (n_e * n_t)) / log2(n / n_e) >= 0.7
+              AND n_et * ln(n * n_et / (n_e * n_t)) + CASE WHEN n_t > n_et THEN (n_t - n_et) * ln((1 - n_et / n_t) / (1 - n_e / n)) ELSE 0 END >= -ln(0.0001)
+            UNION ALL
+            SELECT entity, term FROM near JOIN words USING (t, term) JOIN n_e USING (entity) JOIN n_t USING (term)
+            WHERE n_e < 3 AND n_t = n_e GROUP BY entity, term, n_e HAVING count(*) = n_e
+        ), marked AS (SELECT DISTINCT t, term FROM ents JOIN told USING (entity)),
+        tokens AS (
+            SELECT t, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY t ORDER BY i) AS BIGINT) AS e
+            FROM (SELECT t, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS word, unnest(g[1:len(v)]) AS gap FROM (
+                SELECT t, regexp_extract_all(t, '[\p{L}\p{N}]+') AS v, regexp_split_to_array(t, '[\p{L}\p{N}]+') AS g FROM (SELECT DISTINCT t FROM marked)))
         ), terms AS (
-            SELECT DISTINCT near.t, near.s, near.e FROM near JOIN told USING (entity, term)
-            WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.t = near.t AND b.s < near.e AND near.s < b.e)
+            SELECT t, e - length(word) AS s, e FROM tokens JOIN marked USING (t)
+            WHERE lower(word) = term AND regexp_full_match(word, '\p{L}{3,}')
+              AND NOT EXISTS (SELECT 1 FROM b WHERE b.t = tokens.t AND b.s < tokens.e AND tokens.e - length(tokens.word) < b.e)
         ), spans AS (SELECT t, kind, o, s, e FROM b UNION ALL SELECT t, 'term', 4, s, e FROM terms),
         by_text AS (
             SELECT t, count(*) FILTER (WHERE o = 0) AS n_email, count(*) FILTER (WHERE o = 1) AS n_ip, count(*) FILTER (WHERE o = 2) AS n_card, count(*) FILTER (WHERE o = 3) AS n_phone,

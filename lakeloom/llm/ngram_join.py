@@ -12,17 +12,18 @@ from VERY_FREQUENT on 3): as up to k - 1 shared shingles of a group then go unse
 n - t + 1 shingles beyond the first k - 1 of each group. The groups' (k - 1) add up to less than t, so a set never runs
 out.
 
-1. profile: a row per document: set size and digest.
-2. Every task sends its shingles, packed, to the hash partitions of the shingles, which count in how many documents each
-   occurs and send back those in two or more. A shingle of one document never links, so a document in which q or more
-   occur nowhere else is done with. What is left is a table of sets, reduced to their shared shingles.
-3. These sets' prefixes are indexed. In each entry all sets are checked against one, the hub: the one whose shingles are
+1. Every task makes batches of documents and sends the distinct shingles of a batch, with their numbers, packed, to hash
+   partitions of the shingles, which sum them up and send back those in two or more documents; which documents have a
+   shingle stays with the batch. So a passage of very many documents costs an entry a batch. A shingle of one document
+   never links, so a document in which q or more occur nowhere else is done with. What is left is a table of all
+   documents, with set size and digest, and the shared shingles of those that can link.
+2. These sets' prefixes are indexed. In each entry all sets are checked against one, the hub: the one whose shingles are
    most frequent, as an original among its edited copies. So a group of copies costs a check each, not one a pair. Two
    sets of an entry that don't both link with the hub can only link if they share a shingle outside the hub, unless both
    share more with it than they need in common with each other. Pairs of the latter kind are checked. For the former,
    what each set has outside the hub is indexed under the hub and the shingle, and all pairs of such an entry that are in
    different components are checked, for its first 16 sets, then 64, 256, ... No link between components is missed.
-4. A check intersects the two sets of shared shingles; sets travel to the checks, in groups of GROUP per first set.
+3. A check intersects the two sets of shared shingles; sets travel to the checks, in groups of GROUP per first set.
 
 Shingles are hashed to 64 bits, of which 48 (and the partition) are compared. Lower case of A-Z only, words between
 ASCII white space. Texts that are null or have no word have empty sets and link with nothing; with fewer than `words`
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.byte_bpe import slices
-from lakeloom.llm.common import documents, materialise, partitions
+from lakeloom.llm.common import documents, give_back, materialise, partitions
 from lakeloom.llm.components import components
 from lakeloom.llm.langid import mix
 
@@ -89,24 +90,6 @@ def shingles(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def _digest(x: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(x.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
-def profile(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2) of every row; the digest is null for an empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 8_000_000):
-                sets = shingles(batch.column(1), words)
-                digests = [_digest(x) if len(x) else (None, None) for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([d for d, _ in digests], pa.int64()), pa.array([d for _, d in digests], pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
-
-
 # --- which shingles are shared ---
 
 
@@ -124,67 +107,91 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_SENT = "r int, batch long, docs boolean, a binary, b binary, c binary"
-_SENT_ARROW = pa.schema([("r", pa.int32()), ("batch", pa.int64()), ("docs", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_SENT = "r int, batch long, docs boolean, a binary, b binary, c binary, d binary"
+_SENT_ARROW = pa.schema([("r", pa.int32()), ("batch", pa.int64()), ("docs", pa.bool_()), *((x, pa.binary()) for x in "abcd")])
+
+
+def _deltas(x: np.ndarray) -> bytes:
+    """Rising unsigned integers, packed."""
+    return _pack(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def _summed(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
 def _sender(words: int, reducers: int):
+    """From (doc_id, text), by batches of documents: for each partition of shingles a row with the distinct ones (a) and in
+    how many of the batch's documents each is (b); and a row for the batch itself, with the documents' ids (a), set sizes
+    (b), which ids are null and the digests (c), and the documents of all its shingles, by partition and shingle, after
+    where each partition's begin (d)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
-        ids: list[int] = []
+        ids: list[int | None] = []
         sets: list[np.ndarray] = []
         held = 0
 
         def send() -> pa.RecordBatch:
             batch = task << 24 | made
             sizes = np.array([len(x) for x in sets], np.int64)
-            flat = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets), dtype=np.uint64), sizes)
+            null = np.array([x is None for x in ids])
+            sent = np.where(null, 0, sizes)
+            flat = np.concatenate([x[:n] for x, n in zip(sets, sent)])
+            doc = np.repeat(np.arange(len(sets), dtype=np.uint64), sent)
             to = (mix(flat) % np.uint64(reducers)).astype(np.int64)
             short = flat >> np.uint64(16)
             order = np.lexsort((short, to))
-            short, doc, bounds = short[order], doc[order], np.searchsorted(to[order], np.arange(reducers + 1))
-            rows = [(r, batch, False, _pack(np.diff(short[a:b], prepend=np.uint64(0))), _pack(doc[a:b]), b"") for r, a, b in zip(range(reducers), bounds, bounds[1:]) if b > a]
-            rows.append((batch % reducers, batch, True, np.array(ids, "<i8").tobytes(), sizes.astype("<i8").tobytes(), b""))
+            short, to, doc = short[order], to[order], doc[order]
+            first = np.flatnonzero(np.append(True, (short[1:] != short[:-1]) | (to[1:] != to[:-1]))) if len(short) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(short))).astype(np.uint64)
+            ends, bounds = np.searchsorted(to[first], np.arange(reducers + 1)), np.searchsorted(to, np.arange(reducers + 1))
+            rows = [(r, batch, False, _deltas(short[first[a:b]]), _pack(count[a:b]), b"", b"") for r, a, b in zip(range(reducers), ends, ends[1:]) if b > a]
+            digests = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets)
+            rows.append((batch % reducers, batch, True, np.array([x or 0 for x in ids], "<i8").tobytes(), sizes.astype("<i8").tobytes(), null.tobytes() + digests, bounds.astype("<i8").tobytes() + _pack(doc)))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _SENT_ARROW.types)], schema=_SENT_ARROW)
 
         for whole in batches:
             for part in slices(whole, "text", 8_000_000):
                 for doc, found in zip(part.column(0).to_pylist(), shingles(part.column(1), words)):
-                    if doc is not None and len(found):
-                        ids.append(doc)
-                        sets.append(found)
-                        held += len(found)
+                    ids.append(doc)
+                    sets.append(found)
+                    held += len(found)
                 if held >= BATCH:
                     yield send()
                     ids, sets, held, made = [], [], 0, made + 1
         if ids:
             yield send()
+        give_back()
 
     return run
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """Of the shingles of one partition those in two or more documents, by batch: c holds 8 * log2 of their number."""
+    """Of the shingles of one partition those in two or more documents, by batch: the shingles (a), where their documents
+    begin among the partition's in that batch (b), 8 * log2 of how many documents have each (c), and how many of the
+    batch (d). However many documents share a shingle, a batch has one entry for it."""
     rows = group.to_pylist()
     out = [r for r in rows if r["docs"]]
     rows = [r for r in rows if not r["docs"]]
     if rows:
-        short = [np.cumsum(_unpack(r["a"]), dtype=np.uint64) for r in rows]
-        of = np.repeat(np.arange(len(rows)), [len(x) for x in short])
-        flat = np.concatenate(short)
-        _, inverse, n = np.unique(flat, return_inverse=True, return_counts=True)
-        n = n[inverse]
-        ends = np.searchsorted(of, np.arange(len(rows) + 1))
-        for r, a, b in zip(rows, ends, ends[1:]):
-            kept = np.flatnonzero(n[a:b] > 1)
+        short = [_summed(r["a"]) for r in rows]
+        ends = np.cumsum([0, *map(len, short)])
+        own = np.concatenate([_unpack(r["b"]) for r in rows]).astype(np.int64)
+        _, inverse = np.unique(np.concatenate(short), return_inverse=True)
+        total = np.bincount(inverse, own)[inverse]
+        del inverse
+        for r, x, a, b in zip(rows, short, ends, ends[1:]):
+            kept = np.flatnonzero(total[a:b] > 1)
             if len(kept):
-                x = flat[a:b][kept]
-                level = np.floor(8 * np.log2(n[a:b][kept])).astype(np.uint64)
-                out.append(r | {"a": _pack(np.diff(x, prepend=np.uint64(0))), "b": _pack(_unpack(r["b"])[kept]), "c": _pack(level)})
-    return pa.Table.from_pylist(out, _SENT_ARROW)
+                count = own[a:b]
+                level = np.floor(8 * np.log2(total[a:b][kept])).astype(np.uint64)
+                out.append(r | {"a": _deltas(x[kept]), "b": _deltas((np.cumsum(count) - count)[kept]), "c": _pack(level), "d": _pack(count[kept].astype(np.uint64))})
+    found = pa.Table.from_pylist(out, _SENT_ARROW)
+    give_back()
+    return found
 
 
 def needed(n: int, share: tuple[int, int]) -> int:
@@ -192,35 +199,45 @@ def needed(n: int, share: tuple[int, int]) -> int:
     return -(-share[0] * n // share[1])
 
 
-def _sets(share: tuple[int, int]):
+_SETS = "doc_id long, n_shingles long, d1 long, d2 long, shared binary, level binary"
+_SETS_ARROW = pa.schema([*((x, pa.int64()) for x in ("doc_id", "n_shingles", "d1", "d2")), ("shared", pa.binary()), ("level", pa.binary())])
+
+
+def _sets(share: tuple[int, int], reducers: int):
     def run(group: pa.Table) -> pa.Table:
-        """Of one batch the documents that can link: doc_id, n, the shared shingles in order and their levels."""
+        """All documents of one batch: doc_id, set size, the set's digest (null: an empty set), and of those that can link
+        the shared shingles in order and their levels."""
         rows = group.to_pylist()
         docs = next(r for r in rows if r["docs"])
-        ids, sizes = np.frombuffer(docs["a"], "<i8"), np.frombuffer(docs["b"], "<i8")
         rows = [r for r in rows if not r["docs"]]
-        out = []
+        ids, sizes = np.frombuffer(docs["a"], "<i8"), np.frombuffer(docs["b"], "<i8")
+        null, digests = np.frombuffer(docs["c"][: len(ids)], bool), np.frombuffer(docs["c"][len(ids) :], "<i8").reshape(-1, 2)
+        out: list[tuple[bytes | None, bytes | None]] = [(None, None)] * len(ids)
         if rows:
-            short = np.concatenate([np.cumsum(_unpack(r["a"]), dtype=np.uint64) for r in rows])
-            doc = np.concatenate([_unpack(r["b"]) for r in rows]).astype(np.int64)
-            level = np.concatenate([_unpack(r["c"]) for r in rows])
+            size = 8 * (reducers + 1)
+            bounds, doc_of = np.frombuffer(docs["d"][:size], "<i8"), _unpack(docs["d"][size:]).astype(np.int64)
+            count = np.concatenate([_unpack(r["d"]) for r in rows]).astype(np.int64)
+            begin = np.concatenate([_summed(r["b"]).astype(np.int64) + bounds[r["r"]] for r in rows])
+            at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            doc = doc_of[at]
+            short = np.repeat(np.concatenate([_summed(r["a"]) for r in rows]), count)
+            level = np.repeat(np.concatenate([_unpack(r["c"]) for r in rows]), count)
             shared = np.bincount(doc, minlength=len(ids))
             least = -(-share[0] * sizes // share[1])
-            linkable = shared >= least  # fewer than n - least + 1 shingles occur nowhere else
+            linkable = (shared >= least) & (sizes > 0) & ~null  # fewer than n - least + 1 shingles occur nowhere else
             some = linkable[doc]
             short, doc, level = short[some], doc[some], level[some]
             order = np.lexsort((short, level, doc))
             short, doc, level = short[order], doc[order], level[order]
-            bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
-            out = [(int(ids[k]), int(sizes[k]), short[a:b].astype("<i8").tobytes(), level[a:b].astype(np.uint8).tobytes()) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if linkable[k]]
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), _SETS_ARROW.types)] if out else [pa.array([], t) for t in _SETS_ARROW.types], schema=_SETS_ARROW)
+            ends = np.searchsorted(doc, np.arange(len(ids) + 1))
+            out = [(short[a:b].astype("<i8").tobytes(), level[a:b].astype(np.uint8).tobytes()) if ok else (None, None) for ok, a, b in zip(linkable, ends, ends[1:])]
+        empty = sizes == 0
+        columns = [pa.array(ids, mask=null), pa.array(sizes), *(pa.array(digests[:, k], mask=empty) for k in (0, 1)), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())]
+        return pa.Table.from_arrays(columns, schema=_SETS_ARROW)
 
     return run
 
 
-_SETS_ARROW = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shared", pa.binary()), ("level", pa.binary())])
-
-
 # --- prefixes ---
 
 
@@ -333,13 +350,12 @@ def _uncovered(share: tuple[int, int]):
         node, n, common_, component = (np.concatenate(x) for x in zip(*rows))
         if (component == component[0]).all():
             return set()
-        # most shared first: a pair needs both
-        order = np.argsort(-common_, kind="stable")
-        node, n, common_, component = node[order], n[order], common_[order], component[order]
+        names, inverse, size = np.unique(component, return_inverse=True, return_counts=True)
         out = set()
-        for i in range(1, len(node)):
-            # what the i-th shares bounds what it has in common with those before it, inside the hub
-            at = np.flatnonzero(_links(share, n[:i], n[i], common_[i]) & (component[:i] != component[i]) & (node[:i] != node[i]))
+        # every pair of two components has one that isn't in the largest
+        for i in np.flatnonzero(inverse != np.argmax(size)):
+            # what they share with the hub bounds what they have in common inside it
+            at = np.flatnonzero((component != component[i]) & _links(share, n, n[i], np.minimum(common_, common_[i])) & (node != node[i]))
             out.update((min(a, b), max(a, b)) for a, b in zip(node[at].tolist(), [int(node[i])] * len(at)))
         return out
 
@@ -454,19 +470,22 @@ def _named(df: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents' profile, their classes (doc_id, first), and the sets that can link."""
-    spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    known = materialise(profile(docs, words), "profile")
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    reducers = max(parts, -(-total // PARTITION))
+    """Of every row doc_id, n_shingles and digest; the documents' classes (doc_id, first); and the sets that can link."""
+    parts = partitions(docs.sparkSession)
+    rows = documents(docs)
+    # a shingle for each word, a word for each six bytes
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    reducers = max(parts, -(-total // 6 // PARTITION))
+    sent = rows.mapInArrow(_sender(words, reducers), _SENT)
+    back = sent.repartition(reducers, "r").groupBy("r").applyInArrow(_count, _SENT)
+    known = materialise(back.repartition(reducers, "batch").groupBy("batch").applyInArrow(_sets(share, reducers), _SETS), "sets")
     classes = known.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     classes = materialise(classes, "classes")
     placed = known.join(classes, ["d1", "d2"]).filter("doc_id is not null").select("doc_id", "first")
-
-    sent = documents(docs).mapInArrow(_sender(words, reducers), _SENT)
-    back = sent.repartition(reducers, "r").groupBy("r").applyInArrow(_count, _SENT)
-    sets = back.repartition(reducers, "batch").groupBy("batch").applyInArrow(_sets(share), "node long, n long, shared binary, level binary")
-    return known, placed, materialise(sets.join(classes.select(F.col("first").alias("node")).distinct(), "node", "left_semi"), "sets")
+    sets = known.filter("shared is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "shared", "level", "d1", "d2")
+    # one set for each class: that of its first document
+    sets = sets.join(classes.withColumnRenamed("first", "node"), ["node", "d1", "d2"], "left_semi")
+    return known.select("doc_id", "n_shingles", "d1", "d2"), placed, materialise(sets.select("node", "n", "shared", "level"), "linkable")
 
 
 def links(docs: DataFrame, *, words: int = 5, share: tuple[int, int] = (3, 4)) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators.joins import asof_join, range_join, skewed_join
 from lakeloom.plans.base import query
+from lakeloom.sources.tables import write_bucketed
 
 
 @query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -72,6 +73,15 @@ def join_salted(t):
     return joined.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("SELECT o_orderkey, o_orderstatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def join_bucketed(t):
+    """Both sides are written in buckets of the key once; the join and the aggregate then shuffle nothing."""
+    orders = write_bucketed(t.orders.select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 16)
+    lines = write_bucketed(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity"), ["o_orderkey"], 16)
+    joined = orders.hint("merge").join(lines, "o_orderkey")
+    return joined.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 @query("SELECT c_custkey, m.best FROM customer, LATERAL (SELECT max(o_totalprice) AS best FROM orders WHERE o_custkey = c_custkey) m")
 def subquery_lateral(t):
     return t.sql("SELECT c_custkey, m.best FROM {customer}, LATERAL (SELECT max(o_totalprice) AS best FROM {orders} WHERE o_custkey = c_custkey) m", "customer", "orders")

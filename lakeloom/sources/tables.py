@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lakeloom.sources.scratch import scratch
+
 #: Formats that come with Spark. avro, jdbc and kafka need a package or driver on the class path.
 FORMATS = ("parquet", "orc", "json", "csv", "text", "xml")
 
@@ -27,6 +29,15 @@ def write(df: DataFrame, path: str, format: str = "parquet", *, by: list[str] |
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
+def write_bucketed(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
+    """df as a table in the shared folder, in buckets by columns and sorted in them: joins and aggregates on these columns
+    with tables of as many buckets need no shuffle, however often they run."""
+    path = scratch(df.sparkSession, "bucketed")
+    name = "bucketed_" + path.rpartition("-")[2]
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def jdbc(spark: SparkSession, url: str, table: str, *, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A table over JDBC, read by ranges of a numeric column in parallel; needs the driver's jar."""
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)

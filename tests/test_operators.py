@@ -68,6 +68,14 @@ def test_write_splits_a_hot_value(spark, tmp_path):
     assert tables.read(spark, f"{tmp_path}/t").count() == 400_000
 
 
+def test_buckets_join_without_a_shuffle(spark):
+    a = tables.write_bucketed(spark.range(1000).select("id", (F.col("id") % 7).alias("x")), ["id"], 4)
+    b = tables.write_bucketed(spark.range(0, 2000, 2).select("id", F.lit(1).alias("y")), ["id"], 4)
+    joined = a.hint("merge").join(b, "id").groupBy("id").agg(F.sum("y").alias("n"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan and joined.count() == 500
+
+
 def test_jdbc_reads_ranges(spark):
     """Against the Derby that comes with Spark, in this process' memory."""
     url, options = "jdbc:derby:memory:lakeloom;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}

@@ -51,8 +51,8 @@ from lakeloom.llm.langid import mix
 
 #: Documents from which on a shingle is indexed in pairs, and in threes.
 FREQUENT, VERY_FREQUENT = 32, 1024
-#: Between the smallest sizes of neighbouring bands.
-RATIO = 1.05
+#: Between the smallest sizes of neighbouring bands: broad ones need longer prefixes, but a set is indexed for fewer.
+RATIO = 1.34
 #: Shingles in one batch that a task sends; shingles that a partition of them may get; sets checked with one first set.
 BATCH, PARTITION, GROUP = 1_500_000, 6_000_000, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -147,10 +147,10 @@ def _sender(words: int, reducers: int):
             short, to, doc = short[order], to[order], doc[order]
             first = np.flatnonzero(np.append(True, (short[1:] != short[:-1]) | (to[1:] != to[:-1]))) if len(short) else np.zeros(0, np.int64)
             count = np.diff(np.append(first, len(short))).astype(np.uint64)
-            ends, bounds = np.searchsorted(to[first], np.arange(reducers + 1)), np.searchsorted(to, np.arange(reducers + 1))
-            rows = [(r, batch, False, _deltas(short[first[a:b]]), _pack(count[a:b]), b"", b"") for r, a, b in zip(range(reducers), ends, ends[1:]) if b > a]
+            ends = np.searchsorted(to[first], np.arange(reducers + 1))
+            rows = [(r, batch, False, _deltas(short[first[a:b]]), _pack(count[a:b]), first[a].tobytes(), b"") for r, a, b in zip(range(reducers), ends, ends[1:]) if b > a]
             digests = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets)
-            rows.append((batch % reducers, batch, True, np.array([x or 0 for x in ids], "<i8").tobytes(), sizes.astype("<i8").tobytes(), null.tobytes() + digests, bounds.astype("<i8").tobytes() + _pack(doc)))
+            rows.append((batch % reducers, batch, True, np.array([x or 0 for x in ids], "<i8").tobytes(), sizes.astype("<i8").tobytes(), null.tobytes() + digests, _pack(doc)))
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _SENT_ARROW.types)], schema=_SENT_ARROW)
 
         for whole in batches:
@@ -171,7 +171,7 @@ def _sender(words: int, reducers: int):
 
 def _count(group: pa.Table) -> pa.Table:
     """Of the shingles of one partition those in two or more documents, by batch: the shingles (a), where their documents
-    begin among the partition's in that batch (b), 8 * log2 of how many documents have each (c), and how many of the
+    begin among the batch's (b), 8 * log2 of how many documents have each (c), and how many of the
     batch (d). However many documents share a shingle, a batch has one entry for it."""
     rows = group.to_pylist()
     out = [r for r in rows if r["docs"]]
@@ -188,7 +188,8 @@ def _count(group: pa.Table) -> pa.Table:
             if len(kept):
                 count = own[a:b]
                 level = np.floor(8 * np.log2(total[a:b][kept])).astype(np.uint64)
-                out.append(r | {"a": _deltas(x[kept]), "b": _deltas((np.cumsum(count) - count)[kept]), "c": _pack(level), "d": _pack(count[kept].astype(np.uint64))})
+                begin = np.frombuffer(r["c"], np.int64)[0] + np.cumsum(count) - count
+                out.append(r | {"a": _deltas(x[kept]), "b": _deltas(begin[kept]), "c": _pack(level), "d": _pack(count[kept].astype(np.uint64))})
     found = pa.Table.from_pylist(out, _SENT_ARROW)
     give_back()
     return found
@@ -203,7 +204,7 @@ _SETS = "doc_id long, n_shingles long, d1 long, d2 long, shared binary, level bi
 _SETS_ARROW = pa.schema([*((x, pa.int64()) for x in ("doc_id", "n_shingles", "d1", "d2")), ("shared", pa.binary()), ("level", pa.binary())])
 
 
-def _sets(share: tuple[int, int], reducers: int):
+def _sets(share: tuple[int, int]):
     def run(group: pa.Table) -> pa.Table:
         """All documents of one batch: doc_id, set size, the set's digest (null: an empty set), and of those that can link
         the shared shingles in order and their levels."""
@@ -214,12 +215,10 @@ def _sets(share: tuple[int, int], reducers: int):
         null, digests = np.frombuffer(docs["c"][: len(ids)], bool), np.frombuffer(docs["c"][len(ids) :], "<i8").reshape(-1, 2)
         out: list[tuple[bytes | None, bytes | None]] = [(None, None)] * len(ids)
         if rows:
-            size = 8 * (reducers + 1)
-            bounds, doc_of = np.frombuffer(docs["d"][:size], "<i8"), _unpack(docs["d"][size:]).astype(np.int64)
             count = np.concatenate([_unpack(r["d"]) for r in rows]).astype(np.int64)
-            begin = np.concatenate([_summed(r["b"]).astype(np.int64) + bounds[r["r"]] for r in rows])
+            begin = np.concatenate([_summed(r["b"]) for r in rows]).astype(np.int64)
             at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            doc = doc_of[at]
+            doc = _unpack(docs["d"]).astype(np.int64)[at]
             short = np.repeat(np.concatenate([_summed(r["a"]) for r in rows]), count)
             level = np.repeat(np.concatenate([_unpack(r["c"]) for r in rows]), count)
             shared = np.bincount(doc, minlength=len(ids))
@@ -478,7 +477,7 @@ def _prepared(docs: DataFrame, words: int, share: tuple[int, int]) -> tuple[Data
     reducers = max(parts, -(-total // 6 // PARTITION))
     sent = rows.mapInArrow(_sender(words, reducers), _SENT)
     back = sent.repartition(reducers, "r").groupBy("r").applyInArrow(_count, _SENT)
-    known = materialise(back.repartition(reducers, "batch").groupBy("batch").applyInArrow(_sets(share, reducers), _SETS), "sets")
+    known = materialise(back.repartition(reducers, "batch").groupBy("batch").applyInArrow(_sets(share), _SETS), "sets")
     classes = known.filter("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"))
     classes = materialise(classes, "classes")
     placed = known.join(classes, ["d1", "d2"]).filter("doc_id is not null").select("doc_id", "first")

@@ -89,6 +89,7 @@ class Model:
     def __post_init__(self):
         used = self.slots[:, [k // 64 for k in range(len(self.languages))]] >> np.array([k % 64 for k in range(len(self.languages))], np.uint64) & np.uint64(1)
         self.false = used.mean(axis=0) ** HASHES if len(self.languages) else np.zeros(0)
+        self.false_any = 1 - float(np.prod(1 - self.false))
 
     def masks(self, h: np.ndarray) -> np.ndarray:
         size = np.uint64(len(self.slots))
@@ -101,19 +102,21 @@ class Model:
         return self.judge(texts)[:2]
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Each text's language, its score, and the share of the text's n-grams that this language knows."""
+        """Each text's language, its score, and the share of the text's n-grams that some language knows: of a text in two
+        languages most, of one in a language that wasn't learned few."""
         points, starts = word_characters(texts)
         lettered = np.bincount(np.searchsorted(starts, np.flatnonzero(points), "right") - 1, minlength=len(texts)) > 0
-        hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        hits, total, known_to_any = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
         for at, h in grams(points) if self.languages else ():
             # an n-gram that starts with a border belongs to the text of the letter after it
             text = np.searchsorted(starts, at + (points[at] == 0), "right") - 1
             total += np.bincount(text, minlength=len(texts))
             found = self.masks(h)
+            known_to_any += np.bincount(text[found.any(axis=1)], minlength=len(texts))
             for k in range(len(self.languages)):
                 hits[:, k] += np.bincount(text[(found[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)).astype(bool)], minlength=len(texts))
         names, scores, shares = [], [], []
-        for row, n, ok in zip(hits, total, lettered):
+        for row, n, some, ok in zip(hits, total, known_to_any, lettered):
             if not ok or not self.languages:
                 names.append(UNDETERMINED)
                 scores.append(0.0)
@@ -125,7 +128,7 @@ class Model:
             known = real[best] > 0
             names.append(self.languages[best] if known else self.common)
             scores.append(float(real[best] / (real[best] + second)) if known else 0.0)
-            shares.append(float(real[best] / n) if known else 0.0)
+            shares.append(float(max(some - n * self.false_any, 0) / max(1 - self.false_any, 1e-9) / n) if n else 0.0)
         return names, scores, shares
 
 

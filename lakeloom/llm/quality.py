@@ -171,7 +171,8 @@ class Model:
     bad_share: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(np.clip(x @ self.weights + self.bias, -500, 500)))
+        # row by row: a matrix product may round a row by where it stands
+        return 1 / (1 + np.exp(np.clip(np.einsum("ij,j->i", x, self.weights) + self.bias, -500, 500)))
 
 
 def train(x: np.ndarray, bad: np.ndarray, rounds: int = 400, rate: float = 4.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:

@@ -201,7 +201,9 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.highest(texts) @ self.slope + self.shift, -500, 500)))
+        first, second = self.highest(texts).T
+        # term by term: a matrix product may round a row by where it stands
+        return 1 / (1 + np.exp(-np.clip(first * self.slope[0] + second * self.slope[1] + self.shift, -500, 500)))
 
 
 class Kernel:

@@ -163,8 +163,8 @@ def stream_late_rows(t):
     late when they come and are dropped. A watermark takes effect a batch after the one that moves it."""
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     middle = F.date_trunc("hour", F.timestamp_micros((F.min(at) + (F.max(at) - F.min(at)) / 2).cast("long"))).cast("timestamp_ntz")
-    rows = t.events.crossJoin(F.broadcast(t.events.agg(middle.alias("middle"))))  # one row
-    later, earlier = rows.filter("ts >= middle").drop("middle"), rows.filter("ts < middle").drop("middle")
+    middle = t.events.agg(middle.alias("middle")).scalar()
+    later, earlier = t.events.filter(F.col("ts") >= middle), t.events.filter(F.col("ts") < middle)
     path = f"{_scratch(t)}/in"
     n = _ordered(t, later, path, 0, 2)
     for time in ("2100-01-01", "2100-01-02"):

@@ -14,6 +14,7 @@ are ordinary text. Ids are kept as little-endian unsigned 32-bit integers in one
 from __future__ import annotations
 
 import base64
+import functools
 import os
 from collections.abc import Iterator
 
@@ -148,6 +149,21 @@ class Codec:
         found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
         return [([a for a, _ in e.offsets], [b for _, b in e.offsets]) for e in found]
 
+    @functools.cached_property
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' bytes in one array, and by id where each begins and how many it has."""
+        size = np.zeros(max(self.token_bytes) + 1, np.int64)
+        size[list(self.token_bytes)] = [len(t) for t in self.token_bytes.values()]
+        flat = b"".join(self.token_bytes.get(i, b"") for i in range(len(size)))
+        return np.frombuffer(flat, np.uint8), np.cumsum(size) - size, size
+
+    def decode_array(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all tokens, and the bounds of each token's there."""
+        flat, start, size = self._flat
+        count = size[ids]
+        bounds = np.concatenate([[0], np.cumsum(count)])
+        return flat[np.repeat(start[ids] - bounds[:-1], count) + np.arange(bounds[-1])].tobytes(), bounds
+
     def decode(self, ids: bytes | np.ndarray) -> bytes:
         """The bytes of the tokens, joined before anything reads them as characters."""
         tokens = self.token_bytes

@@ -147,8 +147,14 @@ class _Sequence:
         self.conversations.append({"conv_id": conv, "node": self.stack[-1][1], "part": part, "more": more})
 
     def row(self, name: str, vocabulary: str) -> dict:
-        ids, bounds = codec(vocabulary).encode_array(pa.array(self.parts, pa.string()))
-        at = bounds.tolist()
+        # heads and ends are alike, and encoded once
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(x, len(number)) for x in self.parts])
+        known, bounds = codec(vocabulary).encode_array(pa.array(list(number), pa.string()))
+        size = np.diff(bounds)[of]
+        ends = np.cumsum(size)
+        ids = known[np.repeat(bounds[of] - (ends - size), size) + np.arange(ends[-1])]
+        at = [0, *ends.tolist()]
         nodes: list[dict] = []
         for k, (parent, loss) in enumerate(self.nodes):
             start, body, tail, end = at[3 * k : 3 * k + 4]
@@ -211,7 +217,8 @@ def read_back(sequences: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFram
         c = codec(vocabulary)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, nodes, rows = np.frombuffer(row["ids"], "<u4"), row["nodes"], []
+                data, bounds = c.decode_array(np.frombuffer(row["ids"], "<u4"))
+                at_byte, nodes, rows = bounds.tolist(), row["nodes"], []
                 texts: dict[int, tuple[str, str]] = {}  # a node that conversations share is decoded once
                 done: dict[int, tuple] = {}  # the same last turn is read once
                 for conv in row["conversations"]:
@@ -224,7 +231,7 @@ def read_back(sequences: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFram
                         way.reverse()
                         for k in way:
                             if k not in texts:
-                                texts[k] = tuple(c.decode(ids[nodes[k][a] : nodes[k][b]]).decode() for a, b in (("start", "end"), ("loss_start", "loss_end")))
+                                texts[k] = tuple(data[at_byte[nodes[k][a]] : at_byte[nodes[k][b]]].decode() for a, b in (("start", "end"), ("loss_start", "loss_end")))
                         formatted = "".join(texts[k][0] for k in way)
                         turns = list(unformat(formatted))
                         loss = "".join(unescape(texts[k][1]) for k in way)

@@ -54,7 +54,7 @@ FREQUENT, VERY_FREQUENT = 32, 1024
 #: Between the smallest sizes of neighbouring bands: broad ones need longer prefixes, but a set is indexed for fewer.
 RATIO = 1.34
 #: Shingles in one batch that a task sends; shingles that a partition of them may get; sets checked with one first set.
-BATCH, PARTITION, GROUP = 1_500_000, 6_000_000, 64
+BATCH, PARTITION, GROUP = 1_000_000, 6_000_000, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,7 +154,7 @@ def _sender(words: int, reducers: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _SENT_ARROW.types)], schema=_SENT_ARROW)
 
         for whole in batches:
-            for part in slices(whole, "text", 8_000_000):
+            for part in slices(whole, "text", 4_000_000):
                 for doc, found in zip(part.column(0).to_pylist(), shingles(part.column(1), words)):
                     ids.append(doc)
                     sets.append(found)

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from lakeloom.functions.portable import sum_of
+from lakeloom.operators import sketches as sk
 from lakeloom.operators.windows import exact_quantiles
 from lakeloom.plans.base import query
+from lakeloom.sources.scratch import materialise, scratch
 
 
 @query(
@@ -43,6 +45,63 @@ def approx_distinct(t):
     return both.select("o_orderstatus", "exact", (F.abs(F.col("a") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
 
 
+_STORED = "o_year int, o_month int, o_orderpriority string, n long, hll binary, theta binary, kll binary"
+
+
+def _sketches(t):
+    """Orders' sketches by month and priority, stored by year: two loads, of which the second brings one year anew."""
+    path = scratch(t.spark, "sketches")
+    orders = t.orders.select(F.year("o_orderdate").alias("o_year"), F.month("o_orderdate").alias("o_month"), "o_orderpriority", "o_custkey", "o_totalprice")
+    for some in (orders.filter("o_year <= 1998"), orders.filter("o_year >= 1998")):
+        sk.store(sk.sketched(some, ["o_year", "o_month", "o_orderpriority"], "o_custkey", "o_totalprice"), path, "o_year")
+    return sk.stored(t.spark, path, _STORED)
+
+
+@query(
+    """
+    WITH o AS (SELECT year(o_orderdate) AS y, * FROM orders),
+    a AS (SELECT y, o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS exact FROM o GROUP BY GROUPING SETS ((y, o_orderpriority), (y), ()))
+    SELECT y AS o_year, o_orderpriority, n, exact, true AS near, true AS near_median, true AS near_p99 FROM a"""
+)
+def sketch_rollup(t):
+    """Sketches by month and priority, merged to year and priority, to years and to one: against the exact numbers, whether
+    distinct customers are within four standard errors, and whether quantiles' true ranks are within the rank error."""
+    month = _sketches(t)
+    levels = [sk.merged(month, ["o_year", "o_orderpriority"]), sk.merged(month, ["o_year"]).withColumn("o_orderpriority", F.lit(None).cast("string")), sk.merged(month, []).withColumns({"o_year": F.lit(None).cast("int"), "o_orderpriority": F.lit(None).cast("string")})]
+    told = None
+    for level in levels:
+        found = sk.estimates(level, {"median": 0.5, "p99": 0.99}).select("o_year", "o_orderpriority", "n", "distinct", "median", "p99")
+        told = found if told is None else told.unionByName(found)
+    told = materialise(told, "estimates")
+    orders = t.orders.select(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), "o_custkey", "o_totalprice")
+    # each order belongs to a group of each level, whose estimates (a row a group) it meets
+    level = F.explode(F.array(F.struct("y", "p"), F.struct("y", F.lit(None).cast("string").alias("p")), F.struct(F.lit(None).cast("int").alias("y"), F.lit(None).cast("string").alias("p")))).alias("g")
+    each = orders.select(level, "o_custkey", "o_totalprice").select("g.y", "g.p", "o_custkey", "o_totalprice")
+    same = F.col("o_year").eqNullSafe(F.col("y")) & F.col("o_orderpriority").eqNullSafe(F.col("p"))
+    share = lambda c: F.avg((F.col("o_totalprice") <= F.col(c)).cast("double")).alias(f"at_{c}")
+    exact = each.join(told, same).groupBy("o_year", "o_orderpriority", "n", "distinct").agg(F.count_distinct("o_custkey").alias("exact"), share("median"), share("p99"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(sk.DISTINCT_ERROR * F.col("exact"), F.lit(1.0))
+    # a group of few rows has steps of 1 / n
+    close = lambda c, q: F.abs(F.col(c) - q) <= sk.RANK_ERROR + 1 / F.col("n")
+    return exact.select("o_year", "o_orderpriority", "n", "exact", near.alias("near"), close("at_median", 0.5).alias("near_median"), close("at_p99", 0.99).alias("near_p99"))
+
+
+@query(
+    """
+    WITH c AS (SELECT DISTINCT year(o_orderdate) AS y, o_custkey FROM orders), n AS (SELECT y, count(*) AS n FROM c GROUP BY y)
+    SELECT a.y AS a, b.y AS b, count(*) AS common, true AS near FROM c a JOIN c b ON a.o_custkey = b.o_custkey AND a.y < b.y GROUP BY 1, 2"""
+)
+def sketch_overlap(t):
+    """Customers whom two years have in common, by theta sketches of months merged to years: whether estimates are near."""
+    told = sk.in_common(sk.merged(_sketches(t), ["o_year"]), "o_year")
+    customers = t.orders.select(F.year("o_orderdate").alias("y"), "o_custkey").distinct()
+    years = customers.groupBy("o_custkey").agg(F.array_sort(F.collect_list("y")).alias("ys"))  # a customer has a row a year at most
+    pairs = years.select(F.posexplode("ys").alias("i", "a"), "ys").select("a", F.explode(F.slice("ys", F.col("i") + 2, F.size("ys"))).alias("b"))
+    exact = pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
+    both = exact.join(told.withColumnRenamed("common", "estimate"), ["a", "b"])
+    return both.select("a", "b", "common", (F.abs(F.col("estimate") - F.col("common")) <= sk.COMMON_ERROR * F.col("either") + 1).alias("near"))
+
+
 @query("SELECT n_regionkey, n_nationkey % 3 AS k, count(*) AS n, CAST(grouping(n_regionkey) AS BIGINT) AS g FROM nation GROUP BY ROLLUP (n_regionkey, n_nationkey % 3)")
 def rollup(t):
     rows = t.nation.select("n_regionkey", (F.col("n_nationkey") % 3).alias("k"))

@@ -15,7 +15,10 @@ from pyspark.sql import types as T
 
 from lakeloom.plans.base import query
 from lakeloom.sources.scratch import scratch
-from lakeloom.sources.tables import SequenceSource, read, write
+from lakeloom.sources.catalog import analysed, cost_based, jdbc_catalog
+from lakeloom.sources.row_groups import NAME, read_row_groups, use
+from lakeloom.sources.tables import read, write
+from lakeloom.sources.upsert import delete, merge, update
 
 
 def _scratch(t) -> str:
@@ -90,10 +93,108 @@ def io_noop(t):
     return rows
 
 
-@query("SELECT range AS n, range * range AS square FROM range(1000)")
+_BUSY = "SELECT event_id, ts, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND event_type IN ('purchase', 'signup') AND user_id < 50"
+
+
+@query(_BUSY)
 def io_custom_source(t):
-    t.spark.dataSource.register(SequenceSource)
-    return t.spark.read.format("sequence").option("end", 1000).option("parts", 4).load()
+    """A source in Python: filters are pushed down to row groups and rows."""
+    rows = read_row_groups(t.spark, f"{t.sf_dir}/events.parquet")
+    return _busy(rows)
+
+
+def _busy(rows):
+    chosen = rows.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")).filter(F.col("event_type").isin("purchase", "signup")).filter("user_id < 50")
+    return chosen.select("event_id", "ts", "user_id", "value")
+
+
+@query(_BUSY)
+def io_custom_sink(t):
+    """A sink in Python with commits, written twice and read back."""
+    path = _scratch(t).removeprefix("file://")
+    use(t.spark)
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0):
+        t.events.filter(part).repartitionByRange(4, "ts").write.format(NAME).mode("append").save(path)
+    return _busy(read_row_groups(t.spark, path))
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def io_custom_stream(t):
+    """The source as a stream: what was read before is not read again when the stream goes on."""
+    path = _scratch(t)
+    table, state, out = (f"{path.removeprefix('file://')}/in", f"{path}/state", f"{path}/out")
+    use(t.spark)
+    for k in range(2):
+        t.events.filter(F.col("event_id") % 2 == k).write.format(NAME).mode("append").save(table)
+        rows = t.spark.readStream.format(NAME).load(table).select("event_id", "user_id", "event_type")
+        rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return t.spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, year(o_orderdate) AS o_year FROM orders"
+
+
+def _stored_orders(t) -> tuple[str, object]:
+    path = _scratch(t)
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").cast("long").alias("o_year"))
+    write(orders, path, by=["o_year"])
+    return path, orders
+
+
+@query(
+    f"""
+    WITH o AS ({_ORDERS})
+    SELECT o_orderkey, o_custkey, CASE WHEN o_year >= 1999 AND o_orderkey % 10 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus, o_totalprice,
+           CASE WHEN o_year >= 1999 AND o_orderkey % 20 = 0 THEN o_year + 1 ELSE o_year END AS o_year
+    FROM o WHERE NOT (o_year >= 1999 AND o_orderkey % 10 = 1)
+    UNION ALL SELECT o_orderkey + 1000000000, o_custkey, 'N', o_totalprice, o_year FROM o WHERE o_year >= 1999 AND o_orderkey % 10 = 2"""
+)
+def merge_orders(t):
+    """Changed, moved, deleted and new rows of some years, merged into a stored table twice over, once in an earlier state."""
+    path, orders = _stored_orders(t)
+    some = orders.filter("o_year >= 1999")
+    changed = some.filter("o_orderkey % 10 = 0").select("o_orderkey", "o_custkey", F.lit("M").alias("o_orderstatus"), "o_totalprice", F.expr("CASE WHEN o_orderkey % 20 = 0 THEN o_year + 1 ELSE o_year END").alias("o_year"), F.lit("upsert").alias("op"))
+    gone = some.filter("o_orderkey % 10 = 1").withColumn("op", F.lit("delete"))
+    new = some.filter("o_orderkey % 10 = 2").select((F.col("o_orderkey") + 1_000_000_000).alias("o_orderkey"), "o_custkey", F.lit("N").alias("o_orderstatus"), "o_totalprice", "o_year", F.lit(None).cast("string").alias("op"))
+    latest = changed.unionByName(gone).unionByName(new).withColumn("at", F.lit(2))
+    stale = latest.withColumn("o_totalprice", F.lit(0.0)).withColumn("op", F.lit(None).cast("string")).withColumn("at", F.lit(1))
+    for _ in range(2):
+        merge(t.spark, path, latest.unionByName(stale), ["o_orderkey"], "o_year", op="op", order="at")
+    return t.spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_year").cast("long").alias("o_year"))
+
+
+@query(f"WITH o AS ({_ORDERS}) SELECT o_orderkey, o_custkey, CASE WHEN o_year = 1996 AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_year FROM o WHERE NOT (o_year <= 1995 OR o_totalprice < 1000)")
+def update_delete_orders(t):
+    path, _ = _stored_orders(t)
+    update(t.spark, path, F.expr("o_year = 1996 AND o_orderstatus = 'O'"), {"o_orderstatus": F.lit("X")}, "o_year")
+    delete(t.spark, path, F.expr("o_year <= 1995 OR o_totalprice < 1000"), "o_year")
+    return t.spark.read.parquet(path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_year").cast("long").alias("o_year"))
+
+
+_FIVE = """
+    SELECT r_name, p_type, count(*) AS n, round(sum(l_extendedprice), 2) AS price
+    FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+    WHERE p_size = 7 AND r_regionkey = 1 GROUP BY r_name, p_type"""
+
+
+@query(_FIVE.replace("{", "").replace("}", ""))
+def join_by_cost(t):
+    """Five tables, joined in the order that their statistics make cheapest, not in the one written."""
+    columns = {"lineitem": ["l_partkey", "l_suppkey"], "part": ["p_partkey", "p_size"], "supplier": ["s_suppkey", "s_nationkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"]}
+    names = {table: analysed(getattr(t, table), own) for table, own in columns.items()}
+    return cost_based(t.spark).sql(_FIVE.format(**names))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20 GROUP BY 1")
+def io_jdbc(t):
+    """The customers in the database that comes with Spark, which filters and aggregates. It lives in the driver's process, so
+    this runs where that is Spark's only one; another database's URL and driver take its place on a cluster."""
+    url, driver = "jdbc:derby:memory:lakeloom;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    name = "CUSTOMER_" + _scratch(t).rpartition("-")[2].upper()
+    t.customer.write.option("driver", driver).option("numPartitions", 4).option("createTableColumnTypes", "c_name VARCHAR(64), c_mktsegment VARCHAR(32)").jdbc(url, name)
+    rows = t.spark.table(f"{jdbc_catalog(t.spark, url, driver)}.APP.{name}")
+    chosen = rows.filter("c_acctbal > 0 AND c_nationkey < 20")
+    return chosen.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -139,8 +240,9 @@ def highest(x: pd.Series) -> float:
 
 @query("SELECT event_type, max(value) - min(value) AS s FROM events GROUP BY 1")
 def udaf(t):
-    """Aggregates in Python have no partial step of their own and get whole groups, so groups are cut first."""
-    part = F.pmod(F.xxhash64("event_id"), F.lit(64)).alias("part")
+    """Aggregates in Python have no partial step of their own and get whole groups, so groups are cut first, into as many
+    parts as keep each at some 10,000 rows if one group has them all."""
+    part = F.pmod(F.xxhash64("event_id"), F.lit(max(1, t.events.count() // 10_000))).alias("part")
     parts = t.events.groupBy("event_type", part).agg(lowest("value").alias("low"), highest("value").alias("high"))
     return parts.groupBy("event_type").agg(lowest("low").alias("low"), highest("high").alias("high")).select("event_type", (F.col("high") - F.col("low")).alias("s"))
 

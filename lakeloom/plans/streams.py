@@ -114,6 +114,59 @@ def stream_join(t):
     return _ntz(_collected(t, rows, "append", "user_id long, first_ts timestamp, then_ts timestamp").drop("batch"), "first_ts", "then_ts")
 
 
+_FOLLOWED = """
+    SELECT coalesce(a.user_id, b.user_id) AS user_id, a.ts AS first_ts, b.ts AS then_ts
+    FROM (SELECT * FROM events WHERE event_type = 'view') a {how} JOIN (SELECT * FROM events WHERE event_type = 'purchase') b
+    ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR"""
+
+
+def _followed(t, how: str):
+    path = _in_order(t)
+    # the last row stays on both sides: Spark filters below the watermark, which would never see it
+    read = lambda kind: ev.stream(t.spark, path, _SCHEMA, files=2, delay="1 hour").filter(F.col("event_type").isin(kind, "end")).select("user_id", "ts")
+    rows = ev.followed(read("view"), read("purchase"), "user_id", "1 HOUR", how)
+    out = _collected(t, rows, "append", "user_id long, first_ts timestamp, then_ts timestamp")
+    return _ntz(out.filter("user_id >= 0").drop("batch"), "first_ts", "then_ts")
+
+
+@query(_FOLLOWED.format(how="LEFT"))
+def stream_join_left(t):
+    """Views without a purchase within the hour come too, when the watermark has passed it."""
+    return _followed(t, "left_outer")
+
+
+@query(_FOLLOWED.format(how="FULL"))
+def stream_join_full(t):
+    return _followed(t, "full_outer")
+
+
+def _rocksdb(t, run):
+    """run() with the state store that the newer interface of custom state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run()
+    finally:
+        t.spark.conf.set(name, before)
+
+
+@query(
+    """
+    WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+         b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
+    SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) FILTER (WHERE event_type = 'view') AS views,
+           count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) AS n, list_reverse(list(value ORDER BY ts DESC)[1:3]) AS last_values FROM b GROUP BY user_id, s"""
+)
+def stream_baskets(t):
+    """Sessions with map and list state and timers."""
+    rows = ev.baskets(ev.stream(t.spark, _in_order(t), _SCHEMA, files=2, delay="1 hour"), 30 * 60_000_000, "user_id")
+    out = _rocksdb(t, lambda: _collected(t, rows, "append", "start timestamp, end timestamp, user_id long, kinds map<string,long>, last_values array<double>"))
+    of = lambda kind: F.coalesce(F.try_element_at("kinds", F.lit(kind)), F.lit(0).cast("long")).alias(kind + "s")
+    n = F.aggregate(F.map_values("kinds"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n")
+    return _ntz(out.filter("user_id >= 0").select("start", "end", "user_id", of("view"), of("purchase"), n, "last_values"), "start", "end")
+
+
 @query("SELECT user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def stream_state(t):
     """Totals held as custom state; each user's last report is the whole."""

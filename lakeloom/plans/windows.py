@@ -119,6 +119,17 @@ def values_cte(t):
     return t.sql("WITH v(k, name) AS (VALUES (1, 'one'), (2, 'two')) SELECT v.name, n_name FROM v JOIN {nation} ON n_nationkey = k", "nation")
 
 
-@query("WITH RECURSIVE r(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 10) SELECT n, f FROM r")
+_MANAGERS = """
+    WITH RECURSIVE r(k, top, depth, balance) AS (
+        SELECT c_custkey, c_custkey, CAST(0 AS BIGINT), c_acctbal FROM {customer} WHERE c_custkey < 10
+        UNION ALL SELECT c_custkey, top, depth + 1, c_acctbal FROM r JOIN {customer} ON c_custkey >= 10 AND c_custkey {div} 10 = k
+    ) SELECT top, depth, count(*) AS n, round(sum(balance), 2) AS balance FROM r GROUP BY top, depth"""
+
+
+@query(_MANAGERS.format(customer="customer", div="//"))
 def recursive_cte(t):
-    return t.spark.sql("WITH RECURSIVE r(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 10) SELECT n, f FROM r")
+    """A tree of customers, each below the one with its number less the last digit, level by level. Spark ends a recursion
+    beyond a number of rows that is a setting, lifted here in a session beside this one, as depth bounds it."""
+    session = t.spark.newSession()
+    session.conf.set("spark.sql.cteRecursionRowLimit", -1)
+    return type(t)(session, t.sf_dir).sql(_MANAGERS.replace("{div}", "div"), "customer")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +38,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_table(spark: SparkSession, name: str) -> str:
+    """The name of a table of the catalogue that this application makes, to be dropped by release()."""
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes all that this application wrote to the shared folder."""
+    """Deletes all that this application wrote to the shared folder, and drops its tables."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lakeloom/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

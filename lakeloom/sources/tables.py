@@ -1,14 +1,11 @@
-"""Reading and writing tables by format, and Spark's Python data source interface."""
+"""Reading and writing tables by format."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lakeloom.sources.scratch import scratch
+from lakeloom.sources.scratch import own_table, scratch
 
 #: Formats that come with Spark. avro, jdbc and kafka need a package or driver on the class path.
 FORMATS = ("parquet", "orc", "json", "csv", "text", "xml")
@@ -34,42 +31,10 @@ def write_bucketed(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
     with tables of as many buckets need no shuffle, however often they run."""
     path = scratch(df.sparkSession, "bucketed")
     name = "bucketed_" + path.rpartition("-")[2]
-    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(own_table(df.sparkSession, name))
     return df.sparkSession.table(name)
 
 
 def jdbc(spark: SparkSession, url: str, table: str, *, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A table over JDBC, read by ranges of a numeric column in parallel; needs the driver's jar."""
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
-
-
-class _Range(InputPartition):
-    def __init__(self, start: int, end: int):
-        self.start, self.end = start, end
-
-
-class SequenceSource(DataSource):
-    """`spark.read.format("sequence").option("end", n).option("parts", p)`: the squares of 0 to n - 1."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "sequence"
-
-    def schema(self) -> str:
-        return "n long, square long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _SequenceReader(int(self.options.get("end", 0)), int(self.options.get("parts", 1)))
-
-
-class _SequenceReader(DataSourceReader):
-    def __init__(self, end: int, parts: int):
-        self.end, self.parts = end, max(1, parts)
-
-    def partitions(self) -> list[InputPartition]:
-        step = -(-self.end // self.parts) or 1
-        return [_Range(a, min(self.end, a + step)) for a in range(0, max(1, self.end), step)]
-
-    def read(self, partition: _Range) -> Iterator[tuple[int, int]]:
-        for n in range(partition.start, partition.end):
-            yield n, n * n

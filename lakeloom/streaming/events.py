@@ -36,12 +36,13 @@ def deduplicated(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(list(keys))
 
 
-def followed(left: DataFrame, right: DataFrame, key: str, within: str) -> DataFrame:
+def followed(left: DataFrame, right: DataFrame, key: str, within: str, how: str = "inner") -> DataFrame:
     """Rows of left and the rows of right with the same key up to `within` later; both sides need a watermark, which is
-    what lets old state go."""
+    what lets old state go. With left_outer, right_outer or full_outer the rows without another come too, with a null
+    time, once the watermark says that none can follow."""
     a, b = left.alias("a"), right.alias("b")
     near = F.expr(f"a.{key} = b.{key} AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL {within}")
-    return a.join(b, near).select(F.col(f"a.{key}").alias(key), F.col("a.ts").alias("first_ts"), F.col("b.ts").alias("then_ts"))
+    return a.join(b, near, how).select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.col("a.ts").alias("first_ts"), F.col("b.ts").alias("then_ts"))
 
 
 def running_totals(df: DataFrame, key: str) -> DataFrame:
@@ -108,6 +109,88 @@ def running_totals_v2(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).transformWithStateInPandas(_Totals(), out, "Update", "None").withColumnRenamed("key", key)
 
 
+class _Baskets(StatefulProcessor):
+    """A key's open session: when it began and last went on in a value state, how often each kind of event came in a map
+    state, its last values in a list state, and a timer for when it ends."""
+
+    def __init__(self, gap: int, last: int):
+        self.gap, self.most = gap, last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.span = handle.getValueState("span", T.StructType().add("begin", T.LongType()).add("last", T.LongType()))
+        self.kinds = handle.getMapState("kinds", T.StructType().add("kind", T.StringType()), T.StructType().add("n", T.LongType()))
+        self.values = handle.getListState("values", T.StructType().add("value", T.DoubleType()))
+
+    def _closed(self, key: tuple) -> tuple:
+        begin, last = self.span.get()
+        kinds = {k[0]: v[0] for k, v in self.kinds.iterator()}
+        row = (key[0], begin, last, kinds, [v[0] for v in self.values.get()])
+        for state in (self.span, self.kinds, self.values):
+            state.clear()
+        return row
+
+    def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(rows, columns=["key", "begin", "last", "kinds", "values"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        closed = []
+        for us, kind, value in sorted((r for batch in rows for r in zip(batch["us"].tolist(), batch["event_type"], batch["value"].tolist())), key=lambda r: r[0]):
+            if self.span.exists() and us - self.span.get()[1] >= self.gap:
+                closed.append(self._closed(key))
+            self.span.update((self.span.get()[0] if self.span.exists() else us, us))
+            self.kinds.updateValue((kind,), (self.kinds.getValue((kind,))[0] + 1 if self.kinds.containsKey((kind,)) else 1,))
+            self.values.put([*(list(self.values.get()) if self.values.exists() else []), (value,)][-self.most :])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if self.span.exists():
+            self.handle.registerTimer(max((self.span.get()[1] + self.gap) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        return self._out(closed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        return self._out([self._closed(key)] if self.span.exists() else [])
+
+    def close(self) -> None:
+        pass
+
+
+def baskets(df: DataFrame, gap: int, key: str, *, last: int = 3) -> DataFrame:
+    """Sessions of a key with a gap in microseconds: start, end, how many events of each kind, and the last values. A
+    session's states are cleared when its timer goes off, as the watermark passes its end. Needs a watermark on ts, the
+    RocksDB state store, and no late events."""
+    out = T.StructType().add("key", df.schema[key].dataType).add("begin", T.LongType()).add("last", T.LongType()).add("kinds", T.MapType(T.StringType(), T.LongType())).add("values", T.ArrayType(T.DoubleType()))
+    found = df.withColumn("us", F.unix_micros("ts")).groupBy(key).transformWithStateInPandas(_Baskets(gap, last), out, "Append", "EventTime")
+    return found.select(F.timestamp_micros("begin").alias("start"), F.timestamp_micros(F.col("last") + gap).alias("end"), F.col("key").alias(key), "kinds", F.col("values").alias("last_values"))
+
+
+class _Unseen(StatefulProcessor):
+    """A mark that a key has come, which lives for a time."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", T.StructType().add("n", T.LongType()), ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = not self.seen.exists()
+        for _ in rows:
+            pass
+        if new:
+            self.seen.update((1,))
+        yield pd.DataFrame({"key": [key[0]] if new else []}).astype({"key": object} if not new else {})
+
+    def close(self) -> None:
+        pass
+
+
+def unseen(df: DataFrame, key: str, ttl_ms: int) -> DataFrame:
+    """Keys that haven't come within ttl_ms before, by the clock: each key's mark expires by itself, so state holds the keys
+    of that time only. Needs the RocksDB state store."""
+    out = T.StructType().add("key", df.schema[key].dataType)
+    return df.select(key).groupBy(key).transformWithStateInPandas(_Unseen(ttl_ms), out, "Append", "ProcessingTime").withColumnRenamed("key", key)
+
+
 def run_once(df: DataFrame, checkpoint: str, mode: str, sink: Callable[[DataFrame, int], Any]) -> list[dict]:
     """Runs a stream over what there is, each batch to a sink; returns the progress reports."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()

@@ -10,10 +10,10 @@ exactly the same blocks count once. A node has
 - content: the sentences that stand in it. Its importance is 1 less the mean entropy of its sentences over pages, again to
   the base of the number of pages: one that stands on one page alone has entropy 0, one that all pages share entropy 1.
 
-A text's branch has the importance (1 - SHARE) * content + SHARE * presentation of the branch above it. The host's own value
-counts with its number of pages; the value of the tree that all hosts make together counts as POOLED pages more, and what
-the page's names say as PRIOR pages more, so that hosts with few pages borrow from the others. Branches of importance below
-LEAST are removed from each page. Nodes are keyed by hashes, and the tables of nodes are joined to pages by host and node:
+A text's branch has the importance (1 - SHARE) * content + SHARE * presentation of the branch above it, and what the page's
+names say counts as PRIOR pages more. It is computed in the host's tree and in the one that all hosts make together, which
+knows templates that each host has few pages of; the lower value holds. Branches of importance below LEAST are removed from
+each page. Nodes are keyed by hashes, and the tables of nodes are joined to pages by host and node:
 no host's pages or nodes meet in one task.
 
 Names settle what no statistics can, as readers' comments differ from page to page as articles do: of what the tree leaves,
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.html import INLINE, VOID, tokens
 from lakeloom.llm.common import give_back, materialise
 
-LEAST, SHARE, POOLED, PRIOR = 0.65, 0.2, 20, 5
+LEAST, SHARE, PRIOR = 0.65, 0.2, 5
 #: What names say of a text that the statistics know nothing of: on a page without an article, beside one, and in a named
 #: element.
 ALONE, BESIDE, NAMED_SO = 1.0, 0.3, 0.1
@@ -253,15 +253,12 @@ def importances(found: DataFrame) -> DataFrame:
         up = nodes.select("host", F.col("node").alias("above"), F.col("presentation").alias("branch"))
         joined = content.join(nodes, ["host", "node"]).join(up, ["host", "above"], "left")
         value = (1 - SHARE) * F.col("content") + SHARE * F.greatest(F.col("presentation"), F.coalesce("branch", F.lit(0.0)))
-        return joined.select("host", "node", "m", "prior", value.alias("value"))
+        m = F.when(F.col("m") > 1, F.col("m")).otherwise(0)  # one page alone says nothing
+        return joined.select("host", "node", ((value * m + F.col("prior") * PRIOR) / (m + PRIOR)).alias("importance"))
 
     own = valued(*tree(F.col("host")))
-    pooled = valued(*tree(F.lit("*"))).select("node", F.col("value").alias("pooled"), F.least(F.col("m"), F.lit(POOLED)).alias("weight"))
-    # one page alone says nothing
-    m = F.when(F.col("m") > 1, F.col("m")).otherwise(0)
-    weight = F.when(F.col("weight") > 1, F.col("weight")).otherwise(0)
-    mean = (F.col("value") * m + F.col("pooled") * weight + F.col("prior") * PRIOR) / (m + weight + PRIOR)
-    return own.join(pooled, "node").select("host", "node", mean.alias("importance"))
+    pooled = valued(*tree(F.lit("*"))).select("node", F.col("importance").alias("pooled"))
+    return own.join(pooled, "node").select("host", "node", F.least("importance", "pooled").alias("importance"))
 
 
 def extract(pages: DataFrame, *, small: int = SMALL) -> DataFrame:

@@ -43,7 +43,7 @@ def naive(s):
         closing = nxt == "/"
         first = s[i + 2] if closing and i + 2 < n else "" if closing else nxt
         if closing and not first:
-            flush()
+            text += "</"
             break
         if not (first.isascii() and first.isalpha()):
             if closing or nxt in ("!", "?") and nxt:

@@ -61,7 +61,8 @@ def passages_in(docs: DataFrame, passages: DataFrame, *, doc_id: str = "doc_id",
     anchors = materialise(rarest.filter("r.count > 0").select("p", "n", "r.gram"), "anchors")
     pairs = materialise(met(anchors, "doc_id").select("doc_id", "p").distinct(), "candidates")
     named = items.withColumn("p", F.xxhash64("passage"))
-    found = docs.join(pairs, "doc_id").join(named, "p").withColumn("at", F.instr("text", F.col("passage")).cast("long"))
+    pairs = pairs.withColumnRenamed("doc_id", "__id")
+    found = docs.join(pairs, F.col("doc_id").eqNullSafe(F.col("__id"))).join(named, "p").withColumn("at", F.instr("text", F.col("passage")).cast("long"))
     return found.filter("at > 0").select("doc_id", "item_id", "at")
 
 

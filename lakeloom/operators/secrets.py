@@ -19,6 +19,8 @@ FORMATS = {
 }
 #: What may be a secret without a format, and the words that the model of the corpus is fitted to.
 TOKEN, WORD = r"[0-9A-Za-z+/_=-]{20,}", r"[0-9A-Za-z]+"
+#: Letters of the longest of those words: shorter than a token, so that no secret teaches the model.
+SHORT = 19
 #: Letters and digits, without case.
 SYMBOLS = 36
 #: The logarithm of the odds of a random token against one of the corpus's kind that is asked for, and the share of the
@@ -61,7 +63,7 @@ def language(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFr
     """How often signs follow each other in the corpus's words: counts of pairs (pair, n), and of first signs (first, n).
     Each distinct word counts once, so neither a frequent word nor a text's copies weigh more; both tables have bounded
     sizes, SYMBOLS squared and SYMBOLS rows."""
-    words = docs.select(F.explode(F.array_distinct(_matches(F.col(text_col), WORD))).alias("word")).filter(F.length("word").between(2, 40)).distinct()
+    words = docs.select(F.explode(F.array_distinct(_matches(F.col(text_col), WORD))).alias("word")).filter(F.length("word").between(2, SHORT)).distinct()
     pairs = materialise(_bigrams(words, "word").groupBy("pair").agg(F.count("*").alias("n")), "pairs")
     return pairs, pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("n"))
 
@@ -101,8 +103,9 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     for kind, check in CHECKS.items():
         known = known.filter((F.col("kind") != kind) | check(F.col("value")))
     formats = "|".join(FORMATS.values())
-    tokens = docs.select("doc_id", F.explode(_matches(F.col("text"), TOKEN)).alias("value")).filter(~F.col("value").rlike(formats))
-    tokens = materialise(tokens, "tokens")
+    # what has a known format, whether its check holds or not, is no other token, and neither are its parts
+    other = F.regexp_replace(F.col("text"), formats, " ")
+    tokens = materialise(docs.select("doc_id", F.explode(_matches(other, TOKEN)).alias("value")), "tokens")
     found = random_tokens(tokens.select("value").distinct(), language(docs))
     return known.unionByName(tokens.join(found, "value").select("doc_id", F.lit("random").alias("kind"), "value"))
 

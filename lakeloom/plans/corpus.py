@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.html import html_to_text
 from lakeloom.operators.near_copies import BANDS, PRIME, ROWS, coefficients, near_copies
 from lakeloom.operators.passages import first_words, passages_in
-from lakeloom.operators.secrets import FORMATS, ODDS, SPREAD, SYMBOLS, TOKEN, WORD, secrets
+from lakeloom.operators.secrets import FORMATS, ODDS, SHORT, SPREAD, SYMBOLS, TOKEN, WORD, secrets
 from lakeloom.plans.base import query
 
 _PREFIX = r"regexp_extract(text, '^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,7}')"
@@ -82,13 +82,13 @@ _KNOWN = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extrac
     rf"""
     WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{WORD}')) AS w FROM documents),
     p AS (
-        SELECT pair, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(w)), lambda i: lower(w)[i:i + 1])) AS pair FROM w WHERE length(w) BETWEEN 2 AND 40) GROUP BY pair
+        SELECT pair, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(w)), lambda i: lower(w)[i:i + 1])) AS pair FROM w WHERE length(w) BETWEEN 2 AND {SHORT}) GROUP BY pair
     ), f AS (SELECT pair[1] AS first, sum(n) AS n FROM p GROUP BY 1),
-    t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS value FROM documents),
+    t AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{"|".join(FORMATS.values())}', ' ', 'g'), '{TOKEN}')) AS value FROM documents),
     v AS (
         SELECT DISTINCT value, regexp_replace(lower(value), '[^0-9a-z]', '-', 'g') AS plain,
                CASE WHEN regexp_full_match(value, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_matches(value, '[^0-9A-Za-z]') THEN {SYMBOLS + 1} ELSE {SYMBOLS} END AS alphabet
-        FROM t WHERE NOT regexp_matches(value, '{"|".join(FORMATS.values())}') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+        FROM t WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
     ), c AS (SELECT value, x, count(*) AS n FROM (SELECT value, unnest(string_split(lower(value), '')) AS x FROM v) GROUP BY 1, 2),
     h AS (SELECT value, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM c GROUP BY value),
     o AS (

@@ -134,8 +134,9 @@ class _Reader(DataSourceReader):
         except TypeError:  # statistics of another kind than the value
             return True
 
-    def read(self, partition: RowGroup) -> Iterator[pa.RecordBatch]:
-        return _read(self.path, partition, self.conditions, self.types)
+    def read(self, partition: RowGroup | None) -> Iterator[pa.RecordBatch]:
+        # Spark asks once for None where there is no partition
+        return _read(self.path, partition, self.conditions, self.types) if partition else iter(())
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -151,8 +152,8 @@ class _StreamReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[RowGroup]:
         return _groups(self.path)[start["groups"] : end["groups"]]
 
-    def read(self, partition: RowGroup) -> Iterator[pa.RecordBatch]:
-        return _read(self.path, partition, [], self.types)
+    def read(self, partition: RowGroup | None) -> Iterator[pa.RecordBatch]:
+        return _read(self.path, partition, [], self.types) if partition else iter(())
 
     def commit(self, end: dict) -> None:
         """Files stay: others may read them."""

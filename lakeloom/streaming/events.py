@@ -163,34 +163,6 @@ def baskets(df: DataFrame, gap: int, key: str, *, last: int = 3) -> DataFrame:
     return found.select(F.timestamp_micros("begin").alias("start"), F.timestamp_micros(F.col("last") + gap).alias("end"), F.col("key").alias(key), "kinds", F.col("values").alias("last_values"))
 
 
-class _Unseen(StatefulProcessor):
-    """A mark that a key has come, which lives for a time."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType().add("n", T.LongType()), ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = not self.seen.exists()
-        for _ in rows:
-            pass
-        if new:
-            self.seen.update((1,))
-        yield pd.DataFrame({"key": [key[0]] if new else []}).astype({"key": object} if not new else {})
-
-    def close(self) -> None:
-        pass
-
-
-def unseen(df: DataFrame, key: str, ttl_ms: int) -> DataFrame:
-    """Keys that haven't come within ttl_ms before, by the clock: each key's mark expires by itself, so state holds the keys
-    of that time only. Needs the RocksDB state store."""
-    out = T.StructType().add("key", df.schema[key].dataType)
-    return df.select(key).groupBy(key).transformWithStateInPandas(_Unseen(ttl_ms), out, "Append", "ProcessingTime").withColumnRenamed("key", key)
-
-
 def run_once(df: DataFrame, checkpoint: str, mode: str, sink: Callable[[DataFrame, int], Any]) -> list[dict]:
     """Runs a stream over what there is, each batch to a sink; returns the progress reports."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()

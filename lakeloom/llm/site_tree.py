@@ -88,17 +88,18 @@ class _Element:
     __slots__ = ("tag", "way", "named", "sure", "silent", "article", "heading", "header", "children", "blocks")
 
     def __init__(self, tag: str, attributes: dict[str, str], above: _Element | None):
-        step, said = tag, set()
+        step, said, role, unseen = tag, set(), "", False
         if attributes:
             own = sorted({_DIGITS.sub("", c) for x in ("class", "id") for c in attributes.get(x, "").lower().split()})
-            step = ".".join([tag, *own])
             said = {w for c in own for w in _WORD.findall(c)}
+            unseen = "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")) is not None
+            # all that names are read from is part of the way, so that a node has one kind of name
+            step = ".".join([tag, *own, role := attributes.get("role", "").lower(), "hidden" * unseen])
         self.tag, self.way = tag, _hash(f"{above.way if above else ''}/{step}")
         # sure: by the element itself; named: by words, unless the article turns out to be inside
-        unseen = "hidden" in attributes or _UNSEEN.search(attributes.get("style", "")) is not None
         self.sure = bool(above and above.sure) or tag in _OTHER or unseen
         self.silent = bool(above and above.silent) or tag in _SILENT
-        self.named = tag == "form" or not said.isdisjoint(_REPLIES if tag in _ARTICLE else _WORDS) or attributes.get("role", "").lower() in _ROLES
+        self.named = tag == "form" or not said.isdisjoint(_REPLIES if tag in _ARTICLE else _WORDS) or role in _ROLES
         self.header = tag == "header" or "header" in said and tag not in _ARTICLE
         self.article = bool(above and above.article) or tag in _ARTICLE
         self.heading = bool(above and above.heading) or tag in _HEADINGS

@@ -30,6 +30,8 @@ from lakeloom.llm.common import documents
 
 UNKNOWN = "application/octet-stream"
 PAD = 64
+#: Bytes of a gzip header up to its checksum at most, where it has one.
+GZIP_HEADER = 8192
 
 # Fixed values of the formats: magic bytes, and how far into the object they stand.
 MAGIC = {
@@ -67,6 +69,10 @@ class _Value:
     def zeros(self) -> np.ndarray:
         return np.flatnonzero(np.frombuffer(self.data, np.uint8) == 0)
 
+    @functools.cached_property
+    def chunks(self) -> _Chunks:
+        return _Chunks(self.data)
+
     @functools.cached_property
     def ends_of_zip(self) -> np.ndarray:
         return self._positions(b"PK\x05\x06")
@@ -95,6 +101,43 @@ class _Value:
         return result
 
 
+class _Chunks:
+    """The chains of RIFF chunks of a value. Each place's chain is followed once; a place keeps the next one, one further on
+    whose distance grows with the chain's length, and how many of each name follow, so that where a chain passes an end
+    is found in logarithmic time from any start, whatever ends the objects have."""
+
+    NAMES = (b"fmt ", b"data")
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.places: dict[int, tuple[int, int, int, int, int]] = {}  # next, further, depth, and the names from here on
+
+    def _known(self, to: int) -> None:
+        way, data = [], self.data
+        while to not in self.places and to + 8 <= len(data):
+            name, length = struct.unpack_from("<4sI", data, to)
+            way.append((to, name))
+            to += 8 + length + (length & 1)
+        self.places.setdefault(to, (to, to, 0, 0, 0))
+        for at, name in reversed(way):
+            _, further, depth, *counts = self.places[to]
+            _, beyond, middle, *_ = self.places[further]
+            same = depth - middle == middle - self.places[beyond][2]
+            self.places[at] = (to, beyond if same else to, depth + 1, *(n + (name == x) for n, x in zip(counts, self.NAMES)))
+            to = at
+
+    def passed(self, start: int, end: int) -> tuple[int, bool]:
+        """The first place of the chain from start on that has no room for a chunk before end, and whether both names were
+        seen on the way."""
+        self._known(start)
+        to = start
+        while to + 8 <= end:
+            near, further, *_ = self.places[to]
+            to = further if further + 8 <= end else near
+        first, last = self.places[start], self.places[to]
+        return to, first[3] > last[3] and first[4] > last[4]
+
+
 def _after(places: np.ndarray, at: int) -> int:
     """The first of the sorted places from `at` on, or -1."""
     k = int(places.searchsorted(at))
@@ -199,16 +242,8 @@ def _riff(v: _Value, at: int) -> Found | None:
     if kind not in RIFF_TYPES or end > len(data) or at + 20 > end:
         return None
 
-    def step(state: tuple[int, int]):
-        """From chunk to chunk up to this object's end, with which of two names were seen; the result is the last state."""
-        to, seen = state
-        if to + 8 > end:
-            return False, state
-        name, length = struct.unpack_from("<4sI", data, to)
-        return True, (to + 8 + length + (length & 1), seen | (name == b"fmt ") | (name == b"data") << 1)
-
-    to, seen = v.walk(f"riff {end}", (at + 12, 0), step)
-    return (RIFF_TYPES[kind], at, end) if end <= to <= end + 1 and (kind != b"WAVE" or seen == 3) else None
+    to, both = v.chunks.passed(at + 12, end)
+    return (RIFF_TYPES[kind], at, end) if end <= to <= end + 1 and (kind != b"WAVE" or both) else None
 
 
 def _ogg(v: _Value, at: int) -> Found | None:
@@ -253,7 +288,8 @@ def _mp4(v: _Value, at: int) -> Found | None:
 
 
 def _gzip(v: _Value, at: int) -> Found | None:
-    """The header is read here, so that what many hits have in common, where a name or the data begins, is done once."""
+    """The header is read here, so that what many hits have in common, where a name or the data begins, is done once. A
+    header with a checksum of its own that is longer than GZIP_HEADER, as no name of a file makes it, isn't one."""
     data = v.data
     if at + 18 > len(data) or data[at + 3] & 0xE0:
         return None
@@ -266,7 +302,7 @@ def _gzip(v: _Value, at: int) -> Found | None:
             if to == 0:
                 return None
     if flags & 2:
-        if to + 2 > len(data) or struct.unpack_from("<H", data, to)[0] != zlib.crc32(memoryview(data)[at:to]) & 0xFFFF:
+        if to + 2 > len(data) or to - at > GZIP_HEADER or struct.unpack_from("<H", data, to)[0] != zlib.crc32(memoryview(data)[at:to]) & 0xFFFF:
             return None
         to += 2
 

@@ -304,6 +304,39 @@ def test_sniffing_is_linear(signature):
     assert time.process_time() - began < 2.5
 
 
+def nested_riff(size, ends):
+    """Heads in each other, an end for each, and between them chunks that lead from one to the next."""
+    n = size // 20
+    return b"".join(struct.pack("<4sI4s4sI", b"RIFF", max(0, 20 * (n - i - i % ends) + 4), b"WAVE", b"fmt " if i % 3 else b"data", 12) for i in range(n)) + bytes(12)
+
+
+@pytest.mark.parametrize("data", [nested_riff(1_000_000, 1), nested_riff(1_000_000, 5000), b"\x1f\x8b\x08\x0aaaaaaa" * 100_000 + b"\0", (b"\x1f\x8b\x08\x1aaaaaaa" * 800 + b"\0") * 120], ids=["one end", "many ends", "one name", "names"])
+def test_sniffing_objects_in_each_other_is_linear(data):
+    import time
+
+    began = time.process_time()
+    media.sniff(data)
+    assert time.process_time() - began < 2.5
+
+
+def test_nested_riff_against_each_by_itself():
+    for ends in (1, 7, 40):
+        data = nested_riff(1000, ends)
+        want = set()
+        for at in range(0, len(data) - 20, 20):
+            size = struct.unpack_from("<I", data, at + 4)[0]
+            end, to, seen = at + 8 + size, at + 12, set()
+            if end > len(data) or at + 20 > end:
+                continue
+            while to + 8 <= end:
+                name, length = struct.unpack_from("<4sI", data, to)
+                seen.add(name)
+                to += 8 + length + length % 2
+            if end <= to <= end + 1 and {b"fmt ", b"data"} <= seen:
+                want.add(("audio/wav", at, end))
+        assert set(media.sniff(data)) == want and len(want) > 5
+
+
 def test_walks_don_t_change_what_is_found():
     """Objects after, between and within broken ones, against sniffing each place by itself."""
     r = random.Random(11)

@@ -67,8 +67,8 @@ def near_copies(docs: DataFrame, *, percent: int = 75, n: int = 5, bands: int =
     found = connected_components(links).withColumnRenamed("component", "group")
     of = keyed.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("group", "node").alias("group"))
     of = materialise(of, "grouped")
-    # texts without words are in no signature
-    has = signed.select("node", F.lit(True).alias("has_words"))
+    # texts without words are in no band
+    has = banded.filter("band = 0").select("node", F.lit(True).alias("has_words"))
     of = of.join(has, "node", "left").withColumn("has_words", F.coalesce("has_words", F.lit(False)))
     named = of.groupBy("group").agg(F.min("doc_id").alias("cluster_id"))
     copies = of.groupBy("node").agg(F.count("*").alias("n_copies"))

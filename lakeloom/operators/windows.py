@@ -44,13 +44,16 @@ def numbered(df: DataFrame, order: list[Column], name: str, by: list[str] | None
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """A row for each group of `by`: of its values that aren't null the quantile for each share, between neighbours by
-    linear interpolation. No task holds a group's values; groups without any value have no row."""
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    linear interpolation. No task holds a group's values, also where they are all the same; groups without any value have
+    no row."""
+    # rows with equal values are told apart by where they are read, so that ranges can cut between them
+    tie = F.xxhash64(F.monotonically_increasing_id()).alias("__tie")
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), tie)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("__size")).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), "__size")
     same = F.lit(True)
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    placed = numbered(rows, [F.asc("__v")], "__place", by).join(sizes, same)
+    placed = numbered(rows, [F.asc("__v"), F.asc("__tie")], "__place", by).join(sizes, same)
     low = {n: F.floor((F.col("__size") - 1) * q) + 1 for n, q in shares.items()}
     asked = F.lit(False)
     for at in low.values():

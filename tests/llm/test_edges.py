@@ -91,3 +91,17 @@ def test_import_of_entry_without_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op1_') for k in q) and len(q) > 80"], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+
+
+def test_rows_of_one_turn_are_in_order_of_role_and_text(spark):
+    """Ties of a turn: by role, then by text, whatever order they come in; equal rows each count."""
+    import hashlib
+
+    turns = [("user", "b"), ("user", "a"), ("assistant", "z"), ("user", "a"), ("assistant", None)]
+    for order in (turns, turns[::-1]):
+        rows = [(1, 5, role, text) for role, text in order] + [(1, 4, "user", "first")]
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+        got = chat_format.read_back(chat_format.format_conversations(df)).collect()
+        want = [("user", "first"), ("assistant", ""), ("assistant", "z"), ("user", "a"), ("user", "a"), ("user", "b")]
+        assert [r.turns_sha256 for r in got] == [hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in want).encode()).hexdigest()]
+        assert (got[0].n_turns, got[0].loss_chars, got[0].loss_sha256) == (6, 1, hashlib.sha256(b"z").hexdigest())

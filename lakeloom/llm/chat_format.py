@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.byte_bpe import codec
-from lakeloom.llm.common import materialise, partitions
+from lakeloom.llm.common import give_back, materialise, partitions
 
 #: Characters after which a sequence, or a part of a conversation, is full.
 SEQUENCE_CHARS = 1 << 20
@@ -193,11 +193,14 @@ def format_conversations(conversations: DataFrame, *, most: int = SEQUENCE_CHARS
 
         task, made, now = TaskContext.get().partitionId(), 0, _Sequence()
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                now.add(*row)
-                if now.length >= most or len(now.conversations) >= most:
-                    yield pa.RecordBatch.from_pylist([now.row(f"{task}-{made}", vocabulary)], _ARROW)
-                    now, made = _Sequence(), made + 1
+            for at in range(0, len(batch), 64):
+                for row in zip(*(batch.column(k).slice(at, 64).to_pylist() for k in range(6))):
+                    now.add(*row)
+                    if now.length >= most or len(now.conversations) >= most:
+                        yield pa.RecordBatch.from_pylist([now.row(f"{task}-{made}", vocabulary)], _ARROW)
+                        now, made = _Sequence(), made + 1
+            del batch
+            give_back()
         if now.conversations:
             yield pa.RecordBatch.from_pylist([now.row(f"{task}-{made}", vocabulary)], _ARROW)
 
@@ -216,7 +219,8 @@ def read_back(sequences: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):  # a sequence's nodes as dicts at a time, of those in the batch
+                row = {name: batch.column(name)[i].as_py() for name in ("ids", "nodes", "conversations")}
                 data, bounds = c.decode_array(np.frombuffer(row["ids"], "<u4"))
                 at_byte, nodes, rows = bounds.tolist(), row["nodes"], []
                 texts: dict[int, tuple[str, str]] = {}  # a node that conversations share is decoded once
@@ -240,6 +244,8 @@ def read_back(sequences: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFram
                     digests = (hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(loss.encode()).hexdigest()) if whole else (None, None)
                     rows.append((conv["conv_id"], conv["part"], whole, n, digests[0], loss_chars, digests[1], size, None if whole else said, None if whole else loss))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), _READ_ARROW.types)], schema=_READ_ARROW)
+            del batch
+            give_back()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """From parts, sorted by conversation and part."""

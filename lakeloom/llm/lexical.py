@@ -41,6 +41,9 @@ STEP = 3922
 DOCUMENTS, BYTES = 4096, 4_000_000
 #: Items in a group at most.
 ITEMS = 2000
+#: How the index is written. A reader holds a row group's rows at once, and by default a writer looks at its size after a
+#: hundred rows first, which are some hundred MB of blocks here.
+_WRITTEN = {"parquet.block.size": str(4 * BYTES), "parquet.page.size.row.check.min": "1"}
 
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _TABLE = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
@@ -156,7 +159,7 @@ def build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """The index of all documents, block by block, written in the shared folder."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     n, terms = (x or 0 for x in rows.select("text").mapInArrow(_sums, "n long, terms long").agg(F.sum("n"), F.sum("terms")).first())
-    return Index(materialise(rows.mapInArrow(_blocks(n, max(1, terms)), _BLOCK), "index"), n, terms)
+    return Index(materialise(rows.mapInArrow(_blocks(n, max(1, terms)), _BLOCK), "index", **_WRITTEN), n, terms)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,13 +28,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lakeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage ends there and lost executors cost nothing.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder, with the writer's options, and reads it again: lineage ends there and lost
+    executors cost nothing.
 
     The folder outlives the call, as the result is lazy; release() removes what an application wrote.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

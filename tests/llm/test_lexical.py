@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lakeloom.llm import lexical as L
@@ -77,3 +78,15 @@ def test_bounds_hold_and_pass_over_documents():
     work = L._Search([(0, [b"winter", b"lamp", b"river"], [900, 700, 800])], 10, 3000, 90_000)
     work.add(*(row.column(n)[0].as_py() for n in L._NAMES[1:]))
     assert 10 <= work.scored < 0.5 * work.bounded
+
+
+def test_row_groups_of_the_index_are_small(spark, monkeypatch):
+    """A reader holds a whole row group, so blocks of some MB mustn't share one by the hundred."""
+    monkeypatch.setattr(L, "BYTES", 4_000)
+    words = np.random.default_rng(2).integers(0, 10**9, (150, 400)).astype(str)
+    docs = [(i, " ".join("t" + w for w in row)) for i, row in enumerate(words)]
+    monkeypatch.setitem(L._WRITTEN, "parquet.block.size", str(16_000))
+    index = L.build(documents(spark, docs).coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.blocks.inputFiles()]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == index.blocks.count() > 100 and max(groups) <= 8, groups

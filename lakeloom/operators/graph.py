@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.sources.scratch import materialise
@@ -39,22 +43,150 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return steps.join(named, "root").select("node", "component")
 
 
-def triangles(edges: DataFrame) -> DataFrame:
+def _numbered(degree: DataFrame) -> DataFrame:
+    """(node, number) of the nodes of (node, d): numbers from 0, without gaps, in order of d and of nodes."""
+    order = degree.repartitionByRange("d", "node").sortWithinPartitions("d", "node")
+    placed = materialise(order.select("node", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")), "placed")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(sizes), "part").select("node", (F.col("place") + F.col("before")).cast("int").alias("number"))
+
+
+def _colour(x: np.ndarray, colours: int) -> np.ndarray:
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % colours
+
+
+def _cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of an unordered pair of colours."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return high * (high + 1) // 2 + low
+
+
+_PARTS = "cell int, side int, u int, vs array<int>"
+
+
+def _dealt(colours: int):
+    """From (u, vs): u's edges to v of one colour, to be looked up in the cell of both colours (side 0); and for each cell
+    those of vs that have one of its colours, to be paired there (side 1)."""
+
+    def out(cell: np.ndarray, side: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((v, u, cell))
+        cell, u, v = cell[order], u[order], v[order]
+        first = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (u[1:] != u[:-1])]) if len(v) else np.zeros(0, bool))
+        size = np.diff(np.concatenate([first, [len(v)]]))
+        if side:  # one alone makes no pair
+            kept = size > 1
+            v, first, size = v[np.repeat(kept, size)], first[kept], size[kept]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(v.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(cell[first].astype(np.int32)), pa.array(np.full(len(first), side, np.int32)), pa.array(u[first].astype(np.int32)), lists], names=["cell", "side", "u", "vs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                lists = part.column(1)
+                v = lists.flatten().to_numpy().astype(np.int64)
+                u = np.repeat(part.column(0).to_numpy().astype(np.int64), lists.value_lengths().to_numpy())
+                c = _colour(v, colours)
+                yield out(_cell(_colour(u, colours), c), 0, u, v)
+                yield out(_cell(np.repeat(c, colours), np.tile(np.arange(colours), len(c))), 1, np.repeat(u, colours), np.repeat(v, colours))
+
+    return run
+
+
+#: Pairs made at once, about.
+_PAIRS = 1_000_000
+
+
+class _Edges:
+    """A set of pairs of numbers; most that aren't in it are told by a table of bits of their hashes."""
+
+    def __init__(self, keys: list[np.ndarray]):
+        self.keys = np.sort(np.concatenate([np.zeros(0, np.int64), *keys]))
+        self.shift = np.uint64(64 - max(10, 3 + len(self.keys).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[self._hash(self.keys)] = True
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """Where in keys those are that are in the set."""
+        likely = np.flatnonzero(self.seen[self._hash(keys)])
+        at = np.searchsorted(self.keys, keys[likely])
+        return likely[self.keys[np.minimum(at, len(self.keys) - 1)] == keys[likely]] if len(self.keys) else likely[:0]
+
+
+def _closed(colours: int):
+    """From the parts of cells, side 0 first: how many triangles found here each number is in."""
+
+    def counts(edges: _Edges, cell: int, us: np.ndarray, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        v, size = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
+        end = np.repeat(np.cumsum(size), size)
+        u, later = np.repeat(us, size), end - np.arange(len(v)) - 1
+        c = _colour(v, colours)
+        mixed = cell not in _cell(np.arange(colours), np.arange(colours))
+        total, at = np.cumsum(later), 0
+        while at < len(v):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+            n = later[at:to]
+            left = np.repeat(np.arange(at, to), n)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+            if mixed:  # pairs of one colour belong to another cell
+                both = c[left] != c[right]
+                left, right = left[both], right[both]
+            hit = edges.held(v[left] << 32 | v[right])
+            number, times = np.unique(np.concatenate([u[left[hit]], v[left[hit]], v[right[hit]]]), return_counts=True)
+            if len(number):
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(times.astype(np.int64))], names=["number", "n"])
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, edges = None, [], None
+        for batch in batches:
+            cells, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1
+            for at, to in zip([0, *cuts], [*cuts, len(batch)]):
+                part = batch.slice(at, to - at)
+                if cells[at] != now:
+                    now, keys, edges = cells[at], [], None
+                us, lists = part.column(2).to_numpy().astype(np.int64), part.column(3)
+                if sides[at] == 0:
+                    keys.append(np.repeat(us, lists.value_lengths().to_numpy()) << 32 | lists.flatten().to_numpy().astype(np.int64))
+                else:
+                    edges = edges or _Edges(keys)
+                    yield from counts(edges, int(now), us, lists)
+
+    return run
+
+
+def triangles(edges: DataFrame, *, looked_up: int = 4_000_000) -> DataFrame:
     """(node, triangles) of every node of the undirected edges (a, b) that lies in a triangle: in how many.
 
     Each edge points from its end of lower degree to the other (ties by the node), so that no node has more than about
     sqrt(2 * edges) edges going out, however many come in; pairs of a node's outgoing edges are looked up among all edges.
     A hub so gives few pairs. Loops, repeated edges and their directions count for nothing.
+
+    Pairs are many times more than edges, so they are made where they are looked up and never shuffled: nodes have one of k
+    colours, and each two colours a task, which gets the edges between them (about `looked_up` at most, or fewer, so that
+    all tasks have work) and each node's outgoing edges to them. So each edge is sent k + 1 times, as one of a list.
+    Numbers take the place of nodes, below 2 ** 31.
     """
+    spark = edges.sparkSession
     plain = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     degree = plain.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    da, db = degree.toDF("a", "da"), degree.toDF("b", "db")
-    low = F.struct("da", "a") < F.struct("db", "b")
-    turned = plain.join(da, "a").join(db, "b").select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
-    turned = materialise(turned, "turned")
-    pairs = turned.toDF("u", "v").join(turned.toDF("u", "w"), "u").filter("v < w")
-    closed = pairs.join(plain.toDF("v", "w"), ["v", "w"])
-    return closed.select(F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
+    numbered = materialise(_numbered(degree), "numbered")
+    if numbered.count() >= 1 << 31:
+        raise ValueError("triangles: more than 2 ** 31 nodes")
+    na, nb = numbered.toDF("a", "u"), numbered.toDF("b", "v")
+    turned = plain.join(na, "a").join(nb, "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    going = turned.groupBy("u").agg(F.collect_list("v").alias("vs"))
+    cells, colours = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plain.count() // looked_up), 1
+    while colours * (colours + 1) // 2 < cells:
+        colours += 1
+    parts = going.mapInArrow(_dealt(colours), _PARTS).repartitionById(colours * (colours + 1) // 2, "cell").sortWithinPartitions("cell", "side")
+    found = parts.mapInArrow(_closed(colours), "number int, n long").groupBy("number").agg(F.sum("n").alias("triangles"))
+    return found.join(numbered, "number").select("node", "triangles")
 
 
 def ranks(edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 100) -> tuple[DataFrame, int]:

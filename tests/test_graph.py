@@ -48,6 +48,20 @@ def test_triangles(spark):
     assert G.triangles(edges(spark, [])).count() == 0
 
 
+def test_triangles_in_many_cells(spark):
+    """Few edges a task, so that nodes have many colours; what reaches the tasks are edges, a few times each, and no pairs."""
+    rows = [(a, b) for a, b in itertools.combinations(range(30), 2) if (a * b) % 7] + [(100 + k, k % 30) for k in range(40)]
+    near = collections.defaultdict(set)
+    for a, b in rows:
+        near[a].add(b)
+        near[b].add(a)
+    want = {x: sum(b in near[a] for a, b in itertools.combinations(near[x], 2)) for x in near}
+    found = G.triangles(edges(spark, rows), looked_up=8)
+    assert {x.node: x.triangles for x in found.collect()} == {k: v for k, v in want.items() if v}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 2 and "REPARTITION_BY_NUM" in text
+
+
 def test_ranks_converge(spark):
     r = random.Random(3)
     rows = [(r.randrange(40), r.randrange(40), r.choice([1.0, 2.0])) for _ in range(150)] + [(50 + k, 1, 1.0) for k in range(60)] + [(1, 2, 0.0), (None, 1, 1.0), (3, 99, 5.0)]

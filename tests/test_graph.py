@@ -58,8 +58,8 @@ def test_triangles_in_many_cells(spark):
     want = {x: sum(b in near[a] for a, b in itertools.combinations(near[x], 2)) for x in near}
     found = G.triangles(edges(spark, rows), looked_up=8)
     assert {x.node: x.triangles for x in found.collect()} == {k: v for k, v in want.items() if v}
-    text = found._jdf.queryExecution().executedPlan().toString()
-    assert text.count("MapInArrow") == 2 and "REPARTITION_BY_NUM" in text
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 2 and "RepartitionByExpression" in text, text
 
 
 def test_ranks_converge(spark):

@@ -122,33 +122,50 @@ class _Baskets(StatefulProcessor):
         self.kinds = handle.getMapState("kinds", T.StructType().add("kind", T.StringType()), T.StructType().add("n", T.LongType()))
         self.values = handle.getListState("values", T.StructType().add("value", T.DoubleType()))
 
-    def _closed(self, key: tuple) -> tuple:
-        begin, last = self.span.get()
-        kinds = {k[0]: v[0] for k, v in self.kinds.iterator()}
-        row = (key[0], begin, last, kinds, [v[0] for v in self.values.get()])
-        for state in (self.span, self.kinds, self.values):
-            state.clear()
-        return row
+    def _open(self) -> tuple[list | None, dict, list]:
+        """What the states hold: begin and last of the open session or None, its kinds and its last values."""
+        span = self.span.get()
+        if span is None:
+            return None, {}, []
+        return list(span), {k[0]: v[0] for k, v in self.kinds.iterator()}, [v[0] for v in self.values.get()]
 
     def _out(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(rows, columns=["key", "begin", "last", "kinds", "values"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "begin", "last", "kinds", "values"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        closed = []
+        """Each access to state is a message to the JVM and back, so states are read once and written once, not by event."""
+        span, kinds, values = self._open()
+        stored, closed = dict(kinds), []
+        was_open, cleared = span is not None, False
         for us, kind, value in sorted((r for batch in rows for r in zip(batch["us"].tolist(), batch["event_type"], batch["value"].tolist())), key=lambda r: r[0]):
-            if self.span.exists() and us - self.span.get()[1] >= self.gap:
-                closed.append(self._closed(key))
-            self.span.update((self.span.get()[0] if self.span.exists() else us, us))
-            self.kinds.updateValue((kind,), (self.kinds.getValue((kind,))[0] + 1 if self.kinds.containsKey((kind,)) else 1,))
-            self.values.put([*(list(self.values.get()) if self.values.exists() else []), (value,)][-self.most :])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if self.span.exists():
-            self.handle.registerTimer(max((self.span.get()[1] + self.gap) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+            if span and us - span[1] >= self.gap:
+                closed.append((key[0], *span, kinds, values))
+                span, kinds, values, cleared = None, {}, [], True
+            span = [span[0] if span else us, us]
+            kinds[kind] = kinds.get(kind, 0) + 1
+            values = [*values, value][-self.most :]
+        if was_open and cleared:
+            self.kinds.clear()
+            stored = {}
+        self.span.update(tuple(span))
+        for kind, n in kinds.items():
+            if stored.get(kind) != n:
+                self.kinds.updateValue((kind,), (n,))
+        self.values.put([(v,) for v in values])
+        if was_open:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((span[1] + self.gap) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
         return self._out(closed)
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        return self._out([self._closed(key)] if self.span.exists() else [])
+        span, kinds, values = self._open()
+        if span is None:
+            return self._out([])
+        for state in (self.span, self.kinds, self.values):
+            state.clear()
+        return self._out([(key[0], *span, kinds, values)])
 
     def close(self) -> None:
         pass
@@ -159,7 +176,7 @@ def baskets(df: DataFrame, gap: int, key: str, *, last: int = 3) -> DataFrame:
     session's states are cleared when its timer goes off, as the watermark passes its end. Needs a watermark on ts, the
     RocksDB state store, and no late events."""
     out = T.StructType().add("key", df.schema[key].dataType).add("begin", T.LongType()).add("last", T.LongType()).add("kinds", T.MapType(T.StringType(), T.LongType())).add("values", T.ArrayType(T.DoubleType()))
-    found = df.withColumn("us", F.unix_micros("ts")).groupBy(key).transformWithStateInPandas(_Baskets(gap, last), out, "Append", "EventTime")
+    found = df.select(key, "ts", F.unix_micros("ts").alias("us"), "event_type", "value").groupBy(key).transformWithStateInPandas(_Baskets(gap, last), out, "Append", "EventTime")
     return found.select(F.timestamp_micros("begin").alias("start"), F.timestamp_micros(F.col("last") + gap).alias("end"), F.col("key").alias(key), "kinds", F.col("values").alias("last_values"))
 
 

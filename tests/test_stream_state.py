@@ -1,5 +1,6 @@
 """Custom state lets go: sessions by timers, unmatched rows of joins by the watermark."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +40,84 @@ def test_unmatched_rows_leave_the_join(spark, tmp_path):
     rows = ev.followed(read("view"), read("purchase"), "user_id", "1 HOUR", "full_outer")
     sizes = kept(ev.run_once(rows, str(tmp_path / "c"), "append", lambda df, k: df.write.mode("append").parquet(str(tmp_path / "out"))))
     assert max(sizes) > 3 * max(1, sizes[-1]), sizes
+
+
+class _Counted:
+    """States and timers of one key in memory; counts the messages that a state store would get."""
+
+    def __init__(self):
+        self.messages, self.held = 0, {}
+
+    def __getattr__(self, name):
+        kind = next((k for k in ("ValueState", "MapState", "ListState") if name == f"get{k}"), None)
+        if kind is None:
+            raise AttributeError(name)
+        return lambda state, *schemas: _State(self, state, kind)
+
+    def listTimers(self):
+        self.messages += 1
+        return iter(self.held.get("timers", []))
+
+    def deleteTimer(self, timer):
+        self.messages += 1
+        self.held["timers"].remove(timer)
+
+    def registerTimer(self, timer):
+        self.messages += 1
+        self.held.setdefault("timers", []).append(timer)
+
+
+class _State:
+    def __init__(self, store, name, kind):
+        self.store, self.name, self.kind = store, name, kind
+
+    def _sent(self):
+        self.store.messages += 1
+        return self.store.held
+
+    def exists(self):
+        return self.name in self._sent()
+
+    def get(self):
+        return self._sent().get(self.name, None if self.kind == "ValueState" else [])
+
+    def update(self, x):
+        self._sent()[self.name] = x
+
+    put = update
+
+    def iterator(self):
+        return iter(list(self._sent().get(self.name, {}).items()))
+
+    def getValue(self, k):
+        return self._sent().get(self.name, {}).get(k)
+
+    def containsKey(self, k):
+        return k in self._sent().get(self.name, {})
+
+    def updateValue(self, k, v):
+        self._sent().setdefault(self.name, {})[k] = v
+
+    def clear(self):
+        self._sent().pop(self.name, None)
+
+
+class _Watermark:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_messages_to_the_state_do_not_grow_with_events():
+    found = {}
+    for n in (20, 2000):
+        store, baskets = _Counted(), ev._Baskets(100, 3)
+        baskets.init(store)
+        rows = [(1000 * (i // 5) + i % 5, "ab"[i % 2], float(i)) for i in range(n)]
+        out = []
+        for part in (rows[: n // 2], rows[n // 2 :]):
+            out += [r for df in baskets.handleInputRows(("u",), iter([pd.DataFrame(part, columns=["us", "event_type", "value"])]), _Watermark()) for r in df.itertuples(index=False)]
+        out += [r for df in baskets.handleExpiredTimer(("u",), _Watermark(), None) for r in df.itertuples(index=False)]
+        found[n] = store.messages
+        assert len(out) == n // 5 and [tuple(r) for r in out[:2]] == [("u", 0, 4, {"a": 3, "b": 2}, [2.0, 3.0, 4.0]), ("u", 1000, 1004, {"b": 3, "a": 2}, [7.0, 8.0, 9.0])]
+        assert set(store.held) == {"timers"} and len(store.held["timers"]) == 1
+    assert found[2000] == found[20] < 40, found

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,25 +65,30 @@ def closing_sessions(df: DataFrame, gap: int, key: str) -> DataFrame:
     watermark has passed the gap, in microseconds, after its last event. Needs a watermark on ts and no late events."""
 
     def add(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begin, last, n = state.get if state.exists else (0, 0, 0)
-        closed: list[tuple] = []
         if state.hasTimedOut:
-            closed.append((group[0], begin, last, n))
+            begin, last, n = state.get
             state.remove()
-        else:
-            times = sorted(t for rows in batches for t in rows["us"].tolist())
-            for t in times:
-                if n and t - last >= gap:
-                    closed.append((group[0], begin, last, n))
-                    n = 0
-                begin, last, n = (begin if n else t), max(last, t) if n else t, n + 1
-            state.update((begin, last, n))
-            # no timeout lies before the watermark
-            state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=[key, "begin", "last", "n"])
+            yield pd.DataFrame({key: [group[0]], "begin": [begin], "last": [last], "n": [n]})
+            return
+        times = [rows["us"].to_numpy() for rows in batches]
+        if state.exists:
+            begin, last, n = state.get
+            times.append(np.array([last]))
+        times = np.sort(np.concatenate(times))
+        # where sessions start; the state's last event counts as one that it holds already
+        start = np.concatenate([[0], np.flatnonzero(np.diff(times) >= gap) + 1])
+        end = np.concatenate([start[1:], [len(times)]])
+        first, final, size = times[start], times[end - 1], end - start
+        if state.exists:
+            first[0], size[0] = begin, n + size[0] - 1
+        state.update((int(first[-1]), int(final[-1]), int(size[-1])))
+        # no timeout lies before the watermark
+        state.setTimeoutTimestamp(max((int(final[-1]) + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if len(start) > 1:
+            yield pd.DataFrame({key: np.repeat(np.array([group[0]], object), len(start) - 1), "begin": first[:-1], "last": final[:-1], "n": size[:-1]})
 
     out = f"{key} {df.schema[key].dataType.simpleString()}, begin long, last long, n long"
-    found = df.withColumn("us", F.unix_micros("ts")).groupBy(key).applyInPandasWithState(add, out, "begin long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = df.select(key, "ts", F.unix_micros("ts").alias("us")).groupBy(key).applyInPandasWithState(add, out, "begin long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(F.timestamp_micros("begin").alias("start"), F.timestamp_micros(F.col("last") + gap).alias("end"), key, "n")
 
 

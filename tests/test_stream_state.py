@@ -121,3 +121,48 @@ def test_messages_to_the_state_do_not_grow_with_events():
         assert len(out) == n // 5 and [tuple(r) for r in out[:2]] == [("u", 0, 4, {"a": 3, "b": 2}, [2.0, 3.0, 4.0]), ("u", 1000, 1004, {"b": 3, "a": 2}, [7.0, 8.0, 9.0])]
         assert set(store.held) == {"timers"} and len(store.held["timers"]) == 1
     assert found[2000] == found[20] < 40, found
+
+
+def test_a_key_without_closed_sessions_gives_no_frame(spark):
+    """Frames cost far more than rows, so a key that closes nothing makes none."""
+
+    class Users(list):
+        def groupBy(self, key):
+            return self
+
+        def select(self, *columns):
+            return self
+
+        def withColumn(self, *column):
+            return self
+
+        def applyInPandasWithState(self, add, *rest):
+            self.add = add
+            return self
+
+    users = Users()
+    users.schema = {"user_id": type("f", (), {"dataType": type("t", (), {"simpleString": lambda self: "long"})()})()}
+    ev.closing_sessions(users, 100, "user_id")
+
+    class State:
+        exists, hasTimedOut, held = False, False, None
+        get = property(lambda self: self.held)
+
+        def update(self, x):
+            self.exists, self.held = True, x
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def remove(self):
+            self.exists, self.held = False, None
+
+    state, frame = State(), lambda *us: iter([pd.DataFrame({"us": us})])
+    assert list(users.add((7,), frame(30, 10), state)) == [] and state.held == (10, 30, 2)
+    out = list(users.add((7,), frame(129, 300, 310, 900), state))
+    assert [tuple(r) for df in out for r in df.itertuples(index=False)] == [(7, 10, 129, 3), (7, 300, 310, 2)] and state.held == (900, 900, 1)
+    state.hasTimedOut = True
+    assert [tuple(r) for df in users.add((7,), iter([]), state) for r in df.itertuples(index=False)] == [(7, 900, 900, 1)] and not state.exists

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.sources.scratch import materialise
+from lakeloom.sources.tables import write_bucketed
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -193,23 +194,26 @@ def ranks(edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-9, r
     """(node, rank) of every node of the directed, weighted edges (a, b, w), and the rounds taken.
 
     A node gives the damped share of its rank to the nodes it points at, by weight; nodes without outgoing edges give theirs
-    to all. Ranks sum to 1. It ends when ranks change by less than `tolerance` together. Shares are computed once; what a
-    node receives is summed before the shuffle in each task, so a hub's edges don't meet in one. Edges with null ends or
+    to all. Ranks sum to 1. It ends when ranks change by less than `tolerance` together. Shares are computed once, as a table
+    in buckets by a, so that a round shuffles ranks and sums, and edges never; what a node receives is summed before the
+    shuffle in each task. Edges with null ends or
     weights not above 0 count for nothing, repeated ones add up.
     """
-    edges = edges.filter("a is not null and b is not null and w > 0").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    edges = materialise(edges, "edges")
-    out = edges.groupBy("a").agg(F.sum("w").alias("total"))
-    share = materialise(edges.join(out, "a").select("a", "b", (F.col("w") / F.col("total")).alias("share")), "shares")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = materialise(nodes.join(out.select(F.col("a").alias("node"), F.lit(True).alias("gives")), "node", "left").select("node", F.coalesce("gives", F.lit(False)).alias("gives")), "nodes")
+    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # all edges of a node are in one bucket from here on: sums, shares and the joins of all rounds need no shuffle of edges
+    edges = edges.filter("a is not null and b is not null and w > 0").repartition(buckets, "a").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    share = write_bucketed(edges.select("a", "b", (F.col("w") / F.sum("w").over(Window.partitionBy("a"))).alias("share")), ["a"], buckets)
+    gives = share.select(F.col("a").alias("node")).distinct().withColumn("gives", F.lit(True))
+    nodes = share.select(F.col("b").alias("node")).distinct().withColumn("gives", F.lit(False)).unionAll(gives).groupBy("node").agg(F.max("gives").alias("gives"))
+    nodes = materialise(nodes, "nodes")
     n = nodes.count()
     state = materialise(nodes.withColumn("rank", F.lit(1.0 / max(1, n))), "ranks")
     done = 0
     while n and done < rounds:
         done += 1
         lost = state.filter("not gives").agg(F.sum("rank")).first()[0] or 0.0
-        got = share.join(state.select(F.col("node").alias("a"), "rank"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        # each bucket's ranks are held, not sorted with the edges
+        got = share.join(state.select(F.col("node").alias("a"), "rank").hint("shuffle_hash"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)
         after = materialise(state.join(got, "node", "left").select("node", "gives", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
         change = after.agg(F.sum("change")).first()[0]

@@ -84,3 +84,24 @@ def test_ranks_converge(spark):
     got = {x.node: x.rank for x in found.collect()}
     assert rounds < 100 and got.keys() == nodes and max(abs(got[n] - rank[n]) for n in nodes) < 1e-5 and abs(sum(got.values()) - 1) < 1e-9
     assert G.ranks(edges(spark, [], "a long, b long, w double"))[0].count() == 0
+
+
+def test_ranks_shuffle_no_edges_in_rounds(spark, monkeypatch):
+    """The shares lie in buckets, and the plan of a round has exchanges of ranks and of sums only."""
+    plans = []
+    keep = G.materialise
+
+    def seen(df, name, **more):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, name, **more)
+
+    monkeypatch.setattr(G, "materialise", seen)
+    rows = [(k % 50, (k * 7) % 90, 1.0 + k % 3) for k in range(600)]
+    G.ranks(edges(spark, rows, "a long, b long, w double"), rounds=3)
+    rounds = [text for name, text in plans if name == "ranks"][1:]
+    assert len(rounds) == 3
+    for text in rounds:
+        joined = text[text.index("ShuffledHashJoin") :] if "ShuffledHashJoin" in text else ""
+        shares = [line for line in joined.splitlines() if "share#" in line and "FileScan" in line]
+        assert shares and "Bucketed: true" in shares[0], text
+        assert not any("Exchange hashpartitioning(a#" in above and "share#" in below for above, below in zip(joined.splitlines(), joined.splitlines()[1:]))

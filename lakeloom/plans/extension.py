@@ -5,17 +5,19 @@ Python functions get Arrow batches, but for `initials_by_row` and the table func
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeloom.plans.base import query
 from lakeloom.sources.scratch import scratch
-from lakeloom.sources.catalog import analysed, cost_based, jdbc_catalog
+from lakeloom.sources.catalog import analysed, cost_based
+from lakeloom.sources.derby import databases
 from lakeloom.sources.row_groups import NAME, read_row_groups, use
 from lakeloom.sources.tables import read, write
 from lakeloom.sources.upsert import delete, merge, update
@@ -187,14 +189,12 @@ def join_by_cost(t):
 
 @query("SELECT c_mktsegment, count(*) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20 GROUP BY 1")
 def io_jdbc(t):
-    """The customers in the database that comes with Spark, which filters and aggregates. It lives in the driver's process, so
-    this runs where that is Spark's only one; another database's URL and driver take its place on a cluster."""
-    url, driver = "jdbc:derby:memory:lakeloom;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
-    name = "CUSTOMER_" + _scratch(t).rpartition("-")[2].upper()
-    t.customer.write.option("driver", driver).option("numPartitions", 4).option("createTableColumnTypes", "c_name VARCHAR(64), c_mktsegment VARCHAR(32)").jdbc(url, name)
-    rows = t.spark.table(f"{jdbc_catalog(t.spark, url, driver)}.APP.{name}")
-    chosen = rows.filter("c_acctbal > 0 AND c_nationkey < 20")
-    return chosen.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    """The customers in databases that tasks load, which filter and aggregate; their results are put together."""
+    found = [
+        rows.filter("c_acctbal > 0 AND c_nationkey < 20").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+        for rows in databases(t.customer, "CUSTOMER")
+    ]
+    return reduce(DataFrame.unionAll, found).groupBy("c_mktsegment").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 @F.pandas_udf(T.DoubleType())

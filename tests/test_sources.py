@@ -2,17 +2,22 @@
 
 import os
 import re
+import subprocess
+import sys
+from functools import reduce
 from pathlib import Path
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.plans.base import Tables
-from lakeloom.plans.registry import QUERIES
-from lakeloom.sources import catalog, row_groups, upsert
+from lakeloom.plans.registry import ORACLE_SQL, QUERIES
+from lakeloom.sources import catalog, derby, row_groups, upsert
 from lakeloom.sources.scratch import release
 from lakeloom.sources.tables import write, write_bucketed
 
@@ -150,3 +155,37 @@ def test_tables_of_the_catalogue_are_dropped(spark):
 def test_jdbc_takes_over_filters_and_aggregates(spark):
     text = plan(QUERIES["io_jdbc"](spark, SF))
     assert "PushedAggregates: [COUNT(*), MIN(C_ACCTBAL), MAX(C_ACCTBAL)]".lower() in text.lower() and "PushedFilters" in text and "PushedGroupByExpressions" in text
+
+
+def test_derby_holds_rows_in_several_databases(spark):
+    """What CSV and SQL could mistake comes back as it was, from databases that any process may open."""
+    texts = [None, "", " a ", 'q"u,o\'te', "line\nbreak\r\n", "Ünïcödé 漢字 🎉", "NULL", "\\", "x" * 200_000, "漢" * 70_000, "a;b"]
+    rows = [(i, i % 7 or None, i / 8 if i % 3 else None, texts[i % len(texts)]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, `key of` int, share double, text string")
+    parts = derby.databases(df, "ODD", rows=200)
+    assert len(parts) == 3 and all(p.count() for p in parts)
+    assert sorted(map(tuple, reduce(DataFrame.unionAll, parts).collect()), key=lambda r: r[0]) == rows
+    (none,) = derby.databases(df.limit(0), "ODD")
+    assert none.collect() == []
+    with pytest.raises(Exception, match="Derby: ERROR"):  # what it can't hold is an error
+        derby.databases(spark.createDataFrame([(float("nan"),)], "share double"), "ODD")
+
+
+_ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from lakeloom.plans.registry import QUERIES
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + sys.argv[1]).getOrCreate()
+print("ROWS", sorted(map(tuple, QUERIES["io_jdbc"](spark, sys.argv[2]).collect())))
+spark.stop()
+"""
+
+
+def test_jdbc_on_a_cluster(tmp_path):
+    """Executors are processes of their own here and share nothing with the driver but the folder."""
+    own = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", _ON_A_CLUSTER, str(tmp_path), SF], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(own)})
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{SF}/customer.parquet'")
+    found = [x for x in done.stdout.splitlines() if x.startswith("ROWS")]
+    assert found == [f"ROWS {sorted(con.sql(ORACLE_SQL['io_jdbc']).fetchall())}"], done.stderr[-3000:]

@@ -10,9 +10,9 @@ Only how many pieces have each length matters to that rule, so it runs once, on
 
 1. Every task encodes its documents and numbers its pieces within each length.
 2. The counts by task and length, summed up along the tasks, make those numbers global ranks.
-3. plan() packs the counts. Where there are more pieces than `plan_items`, one placement stands for M pieces of that
-   length in M alike sequences; what is left over follows with smaller M, down to single pieces, into the sequences
-   still open. So the plan's size and the driver's work are bounded, whatever the input.
+3. plan() packs the counts. Pieces of one length are alike, so it works out how many of them go into sequences of each gap,
+   many at a time, and places runs of alike sequences. That is the rule's result for any number of pieces, while the
+   plan's size and the driver's work depend on the lengths there are and hardly on the input.
 4. Each piece looks up its place by length and rank.
 
 Null texts count as empty (one piece of the end id); equal documents and repeated ids are packed one by one; an empty
@@ -32,55 +32,111 @@ from pyspark.sql import functions as F
 from lakeloom.llm.byte_bpe import codec, slices
 from lakeloom.llm.common import documents, materialise
 
-#: Placements in one level of the plan, at most; with it the plan's rows are bounded.
+#: Placements that are made one by one, at about the most. More are made together, with the same result.
 PLAN_ITEMS = 60_000
-_FACTOR = 8
 
 
 def plan(counts: dict[int, int], limit: int, plan_items: int = PLAN_ITEMS) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, number, first sequence, offset), sorted: piece `first rank + j` of that length, j below
     number, goes to `first sequence + j` at that offset. And the number of sequences."""
-    left = {s: n for s, n in counts.items() if n > 0}
     slots: list[tuple[int, int, int, int, int]] = []
     sequences = 0
-    if limit in left:
-        slots.append((limit, 0, left[limit], 0, 0))
-        sequences = left.pop(limit)
-    rank = dict.fromkeys(left, 0)
-    times = 1
-    while sum(n // times for n in left.values()) > plan_items:
-        times *= _FACTOR
-    open_bins: list[list[int]] = [[] for _ in range(limit + 1)]  # by gap: first sequences of groups of `times`
-    open_count = np.zeros(limit + 1, np.int64)
-    while True:
-        for s in (s for s in sorted(left, reverse=True) for _ in range(left[s] // times)):
-            # what the sum of squares gains, for each gap of open sequences that takes s; a full sequence counts no more
-            count = open_count[s:limit]
-            gain = 1 - 2 * count + 2 * open_count[: limit - s] + 1
-            gain[0] -= 2 * open_count[0] + 1
-            gain[count == 0] = np.iinfo(np.int64).max
-            gap = s + int(np.argmin(gain)) if count.any() else limit
-            if gap == limit:
-                first = sequences
-                sequences += times
-            else:
-                first = open_bins[gap].pop()
-                open_count[gap] -= 1
-            slots.append((s, rank[s], times, first, limit - gap))
-            rank[s] += times
-            if gap > s:
-                open_bins[gap - s].append(first)
-                open_count[gap - s] += 1
-        if times == 1:
-            break
-        left = {s: n % times for s, n in left.items()}
-        step = times // _FACTOR
-        open_bins = [[first + j for first in group for j in range(0, times, step)] for group in open_bins]
-        open_count *= _FACTOR
-        times = step
+    open_count = np.zeros(limit, np.int64)  # by gap; full ones aren't counted
+    open_bins: list[list[tuple[int, int]]] = [[] for _ in range(limit)]  # by gap: first sequence and number of alike ones
+    for s in sorted((s for s, n in counts.items() if n > 0), reverse=True):
+        n, rank = counts[s], 0
+        room = open_count * (np.arange(limit) // s)
+        if n < room.sum():
+            placed = _placed(open_count, s, n, max(1, plan_items // limit))
+        else:  # all open ones are filled
+            placed = np.where(np.arange(limit) < s, 0, open_count)
+            for gap in range(limit - s - 1, s - 1, -1):
+                placed[gap] += placed[gap + s]
+        for gap in np.flatnonzero(placed)[::-1].tolist():
+            todo = int(placed[gap])
+            open_count[gap] -= todo
+            while todo:
+                first, number = open_bins[gap].pop()
+                if number > todo:
+                    open_bins[gap].append((first + todo, number - todo))
+                    number = todo
+                slots.append((s, rank, number, first, limit - gap))
+                rank, todo = rank + number, todo - number
+                if gap > s:
+                    open_bins[gap - s].append((first, number))
+                    open_count[gap - s] += number
+        # new ones, each filled before the next opens
+        for number, each in (((n - rank) // (limit // s), limit // s), (1, (n - rank) % (limit // s))):
+            if number and each:
+                for k in range(each):
+                    slots.append((s, rank, number, sequences, k * s))
+                    rank += number
+                if limit > each * s:
+                    open_bins[limit - each * s].append((sequences, number))
+                    open_count[limit - each * s] += number
+                sequences += number
     return np.array(sorted(slots), np.int64).reshape(-1, 5), sequences
 
 
+def _placed(open_count: np.ndarray, s: int, n: int, alone: int) -> np.ndarray:
+    """How many of n pieces of length s the rule puts into open sequences of each gap, which have room for more than n.
+
+    The rule's next gap is the one of the highest urge(). A placement there lowers only that gap's own urge, so whichever
+    gaps with an urge of `least` or more are used, and in whatever order, the same placements are made until there is none,
+    and the rule has made them all by then (as in sand piles, where slopes topple). So `least` is halved in upon, making
+    many placements at once, until at most `alone` are left or those of one urge; these are made one by one.
+    """
+    limit = len(open_count)
+    ties = limit - np.arange(s, limit)
+    step = np.full(limit - s, 4 * (limit + 1))
+    step[0] = 2 * (limit + 1)
+
+    def urge(count: np.ndarray) -> np.ndarray:
+        """What the sum of squares loses, then the smaller gap; a full sequence counts no more."""
+        loss = 2 * (count[s:] - count[: limit - s]) - 2
+        loss[0] = 2 * count[s] - 1
+        return np.where(count[s:] > 0, loss * (limit + 1) + ties, np.iinfo(np.int64).min)
+
+    def use(count: np.ndarray, k: np.ndarray) -> None:
+        count[s:] -= k
+        count[: limit - s] += k
+        count[0] = 0
+
+    def down_to(least: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """The counts and placements when no urge of `least` is left, or None where that takes more than `most`."""
+        now, made = count.copy(), np.zeros(limit - s, np.int64)
+        while True:
+            over = urge(now)
+            k = np.where(over >= least, np.minimum((np.maximum(over, least) - least) // step + 1, now[s:]), 0)
+            if not k.any():
+                return now, made
+            made += k
+            if made.sum() > most:
+                return None
+            use(now, k)
+
+    count, placed = open_count.copy(), np.zeros(limit, np.int64)
+    count[0] = 0
+    high = int(urge(count).max()) + 1
+    low = -(2 * int(count.sum()) + n + 4) * (limit + 1)
+    while n > alone and high - low > 1:
+        middle = (low + high) // 2
+        found = down_to(middle, n)
+        if found is None:
+            low = middle
+        else:
+            high, count = middle, found[0]
+            placed[s:] += found[1]
+            n -= int(found[1].sum())
+    for _ in range(n):
+        gap = s + int(np.argmax(urge(count)))
+        placed[gap] += 1
+        count[gap] -= 1
+        if gap > s:
+            count[gap - s] += 1
+    return placed
+
+
 def cut(n: int, limit: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
     at = 0

@@ -271,6 +271,48 @@ def test_plan_of_very_many_pieces():
         assert len(slots) <= 8 * packing.PLAN_ITEMS
 
 
+def one_by_one(counts, limit):
+    """naive_plan's placements, from what each gap would change: the numbers of (length, offset), and of sequences."""
+    gaps, sequences, out = [0] * limit, 0, collections.Counter()
+    for s in sorted(counts, reverse=True):
+        for _ in range(counts[s]):
+            g = min((g for g in range(s, limit) if gaps[g]), key=lambda g: (2 - 2 * gaps[g] + 2 * gaps[g - s] if g > s else 1 - 2 * gaps[g], g), default=limit)
+            if g < limit:
+                gaps[g] -= 1
+            else:
+                sequences += 1
+            if g > s:
+                gaps[g - s] += 1
+            out[s, limit - g] += 1
+    return out, sequences
+
+
+@pytest.mark.parametrize("kind", ["falling", "spiky", "tiny"])
+def test_plan_follows_the_rule_at_any_size(kind):
+    """Beyond 60,000 pieces, and however few placements are made one by one, too."""
+    r, limit = random.Random(kind), 32
+    if kind == "falling":
+        counts = collections.Counter(min(limit, 1 + int(r.expovariate(4 / limit))) for _ in range(100_000))
+    else:
+        counts = {s: r.choice([1, 50, 20_000]) for s in range(3, limit + 1)} | ({1: 30_000, 2: 40_000} if kind == "tiny" else {})
+    assert sum(counts.values()) > packing.PLAN_ITEMS
+    placed, sequences = one_by_one(counts, limit)
+    for items in (10**9, packing.PLAN_ITEMS, 1):
+        slots, found = packing.plan(dict(counts), limit, items)
+        own = collections.Counter()
+        for s, _, number, _, offset in slots.tolist():
+            own[s, offset] += number
+        assert found == sequences and own == placed
+
+
+def test_plan_grows_with_the_lengths_only():
+    r = random.Random(1)
+    base = collections.Counter(min(1024, max(1, int(r.lognormvariate(4.6, 1.3)))) for _ in range(20_000))
+    counts = {s: 1000 * k + s % 7 for s, k in base.items()}
+    slots, n = packing.plan(counts, 1024)
+    assert n <= 1.0001 * sum(s * k for s, k in counts.items()) / 1024 + 1 and len(slots) <= 30_000 and sum(slots[:, 2]) == sum(counts.values())
+
+
 def test_packing_of_alike_documents(spark):
     """Ties: equal documents are packed one by one, any of them in any place."""
     docs = documents(spark, [(k % 3, "the quiet river") for k in range(50)] + [(None, None)])

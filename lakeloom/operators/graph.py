@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.sources.scratch import materialise
+from lakeloom.sources.scratch import discard, materialise, shuffles_removed
 from lakeloom.sources.tables import write_bucketed
 
 
@@ -63,34 +64,56 @@ def _cell(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return high * (high + 1) // 2 + low
 
 
-_PARTS = "cell int, side int, u int, vs array<int>"
+_PARTS = "cell int, side int, us array<int>, lows array<int>, highs array<int>, low array<int>, high array<int>"
 
 
-def _dealt(colours: int):
-    """From (u, vs): u's edges to v of one colour, to be looked up in the cell of both colours (side 0); and for each cell
-    those of vs that have one of its colours, to be paired there (side 1)."""
+def _runs(arrays: list[np.ndarray]) -> pa.ListArray:
+    size = np.array([len(x) for x in arrays])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(arrays).astype(np.int32)))
 
-    def out(cell: np.ndarray, side: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((v, u, cell))
-        cell, u, v = cell[order], u[order], v[order]
-        first = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (u[1:] != u[:-1])]) if len(v) else np.zeros(0, bool))
-        size = np.diff(np.concatenate([first, [len(v)]]))
-        if side:  # one alone makes no pair
-            kept = size > 1
-            v, first, size = v[np.repeat(kept, size)], first[kept], size[kept]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(v.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([pa.array(cell[first].astype(np.int32)), pa.array(np.full(len(first), side, np.int32)), pa.array(u[first].astype(np.int32)), lists], names=["cell", "side", "u", "vs"])
+
+#: Edges dealt at once, about.
+_EDGES = 200_000
+
+
+def _dealt(colours: int, cells: range):
+    """From (u, vs), for each of the cells: u's edges to v of one colour, to be looked up in the cell of both colours (side 0),
+    and the vs of the cell's two colours, to be paired there (side 1). A row has those of many u: how many of `low` and of
+    `high` each has; in a cell of one colour all are in `low`."""
+    pairs = [(_cell(np.int64(i), np.int64(j)), i, j) for j in range(colours) for i in range(j + 1) if _cell(np.int64(i), np.int64(j)) in cells]
+
+    def out(us: np.ndarray, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        v, own = lists.flatten().to_numpy(), _colour(us, colours)
+        c = _colour(v, colours)
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        row = np.repeat(np.arange(len(us)), lists.value_lengths().to_numpy())[order]
+        cuts = np.cumsum(np.bincount(c, minlength=colours))[:-1]
+        of, rows = np.split(v[order], cuts), np.split(row, cuts)
+        size = [np.bincount(x, minlength=len(us)) for x in rows]
+        none, blocks = v[:0], []
+        for cell, i, j in pairs:
+            for x, y in {(i, j), (j, i)}:
+                kept = (own == x) & (size[y] > 0)
+                blocks.append((cell, 0, us[kept], size[y][kept], none, of[y][kept[rows[y]]], none))
+            if i == j:  # one alone makes no pair
+                kept = size[i] > 1
+                blocks.append((cell, 1, us[kept], size[i][kept], none, of[i][kept[rows[i]]], none))
+            else:
+                kept = (size[i] > 0) & (size[j] > 0)
+                blocks.append((cell, 1, us[kept], size[i][kept], size[j][kept], of[i][kept[rows[i]]], of[j][kept[rows[j]]]))
+        blocks = [x for x in blocks if len(x[2])]
+        if blocks:
+            cell, side, *lists = zip(*blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(side, pa.int32()), *map(_runs, lists)], names=["cell", "side", "us", "lows", "highs", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                lists = part.column(1)
-                v = lists.flatten().to_numpy().astype(np.int64)
-                u = np.repeat(part.column(0).to_numpy().astype(np.int64), lists.value_lengths().to_numpy())
-                c = _colour(v, colours)
-                yield out(_cell(_colour(u, colours), c), 0, u, v)
-                yield out(_cell(np.repeat(c, colours), np.tile(np.arange(colours), len(c))), 1, np.repeat(u, colours), np.repeat(v, colours))
+            us, lists, at = batch.column(0).to_numpy(), batch.column(1), 0
+            total = np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _EDGES, "right")))
+                yield from out(us[at:to], lists.slice(at, to - at))
+                at = to
 
     return run
 
@@ -104,7 +127,7 @@ class _Edges:
 
     def __init__(self, keys: list[np.ndarray]):
         self.keys = np.sort(np.concatenate([np.zeros(0, np.int64), *keys]))
-        self.shift = np.uint64(64 - max(10, 3 + len(self.keys).bit_length()))
+        self.shift = np.uint64(64 - max(10, 2 + len(self.keys).bit_length()))
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
         self.seen[self._hash(self.keys)] = True
 
@@ -118,50 +141,49 @@ class _Edges:
         return likely[self.keys[np.minimum(at, len(self.keys) - 1)] == keys[likely]] if len(self.keys) else likely[:0]
 
 
-def _closed(colours: int):
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the parts of cells, side 0 first: how many triangles found here each number is in."""
 
-    def counts(edges: _Edges, cell: int, us: np.ndarray, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
-        v, size = lists.flatten().to_numpy().astype(np.int64), lists.value_lengths().to_numpy().astype(np.int64)
-        end = np.repeat(np.cumsum(size), size)
-        u, later = np.repeat(us, size), end - np.arange(len(v)) - 1
-        c = _colour(v, colours)
-        mixed = cell not in _cell(np.arange(colours), np.arange(colours))
+    def counts(edges: _Edges, us: np.ndarray, lows: np.ndarray, highs: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+        u = np.repeat(us, lows)
+        if len(highs):  # each of low with all of high
+            later, start = np.repeat(highs, lows), np.repeat(np.cumsum(highs) - highs, lows)
+        else:
+            start, high = np.arange(1, len(low) + 1), low
+            later = np.repeat(np.cumsum(lows), lows) - start
         total, at = np.cumsum(later), 0
-        while at < len(v):
+        while at < len(low):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
             n = later[at:to]
             left = np.repeat(np.arange(at, to), n)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-            if mixed:  # pairs of one colour belong to another cell
-                both = c[left] != c[right]
-                left, right = left[both], right[both]
-            hit = edges.held(v[left] << 32 | v[right])
-            number, times = np.unique(np.concatenate([u[left[hit]], v[left[hit]], v[right[hit]]]), return_counts=True)
+            a, b = low[left], high[np.arange(len(left)) + np.repeat(start[at:to] - np.cumsum(n) + n, n)]
+            hit = edges.held(np.minimum(a, b) << 32 | np.maximum(a, b))
+            number, times = np.unique(np.concatenate([u[left[hit]], a[hit], b[hit]]), return_counts=True)
             if len(number):
                 yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), pa.array(times.astype(np.int64))], names=["number", "n"])
             at = to
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, edges = None, [], None
-        for batch in batches:
-            cells, sides = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1
-            for at, to in zip([0, *cuts], [*cuts, len(batch)]):
-                part = batch.slice(at, to - at)
-                if cells[at] != now:
-                    now, keys, edges = cells[at], [], None
-                us, lists = part.column(2).to_numpy().astype(np.int64), part.column(3)
-                if sides[at] == 0:
-                    keys.append(np.repeat(us, lists.value_lengths().to_numpy()) << 32 | lists.flatten().to_numpy().astype(np.int64))
-                else:
-                    edges = edges or _Edges(keys)
-                    yield from counts(edges, int(now), us, lists)
+    now, keys, edges = None, [], None
+    for batch in batches:
+        for at in range(len(batch)):
+            cell, side = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            us, lows, highs, low, high = (batch.column(k)[at].values.to_numpy().astype(np.int64) for k in range(2, 7))
+            if cell != now:
+                now, keys, edges = cell, [], None
+            if side == 0:
+                keys.append(np.repeat(us, lows) << 32 | low)
+            else:
+                if edges is None:
+                    edges, keys = _Edges(keys), []
+                yield from counts(edges, us, lows, highs, low, high)
 
-    return run
+
+#: Numbers sent at once are this times the edges at most, or so many.
+_SENT = 3
+_SENT_AT_LEAST = 100_000_000
 
 
-def triangles(edges: DataFrame, *, looked_up: int = 4_000_000) -> DataFrame:
+def triangles(edges: DataFrame, *, looked_up: int = 8_000_000, sent_at_least: int = _SENT_AT_LEAST) -> DataFrame:
     """(node, triangles) of every node of the undirected edges (a, b) that lies in a triangle: in how many.
 
     Each edge points from its end of lower degree to the other (ties by the node), so that no node has more than about
@@ -170,24 +192,39 @@ def triangles(edges: DataFrame, *, looked_up: int = 4_000_000) -> DataFrame:
 
     Pairs are many times more than edges, so they are made where they are looked up and never shuffled: nodes have one of k
     colours, and each two colours a task, which gets the edges between them (about `looked_up` at most, or fewer, so that
-    all tasks have work) and each node's outgoing edges to them. So each edge is sent k + 1 times, as one of a list.
-    Numbers take the place of nodes, below 2 ** 31.
+    all cores have work) and each node's outgoing edges to them. So each edge is sent k + 1 times in all, as one of a list,
+    but in rounds of tasks: what a round sends is bounded by the edges, whatever k is, and goes before the next. Tables
+    and shuffles between go too as soon as they are read. Numbers take the place of nodes, below 2 ** 31.
     """
     spark = edges.sparkSession
-    plain = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    degree = plain.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
-    numbered = materialise(_numbered(degree), "numbered")
-    if numbered.count() >= 1 << 31:
-        raise ValueError("triangles: more than 2 ** 31 nodes")
-    na, nb = numbered.toDF("a", "u"), numbered.toDF("b", "v")
-    turned = plain.join(na, "a").join(nb, "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    going = turned.groupBy("u").agg(F.collect_list("v").alias("vs"))
-    cells, colours = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plain.count() // looked_up), 1
-    while colours * (colours + 1) // 2 < cells:
-        colours += 1
-    parts = going.mapInArrow(_dealt(colours), _PARTS).repartitionById(colours * (colours + 1) // 2, "cell").sortWithinPartitions("cell", "side")
-    found = parts.mapInArrow(_closed(colours), "number int, n long").groupBy("number").agg(F.sum("n").alias("triangles"))
-    return found.join(numbered, "number").select("node", "triangles")
+    with shuffles_removed(spark):
+        plain = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        count = plain.count()
+        degree = plain.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+        numbered = materialise(_numbered(degree), "numbered")
+        if numbered.count() >= 1 << 31:
+            raise ValueError("triangles: more than 2 ** 31 nodes")
+        half = materialise(plain.join(numbered.toDF("a", "u"), "a").select("u", "b"), "half")
+        discard(plain)
+        turned = half.join(numbered.toDF("b", "v"), "b").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        # dealt before it is collected, as pairs take less than lists of one or two
+        going = materialise(turned.repartition("u").groupBy("u").agg(F.collect_list("v").alias("vs")), "going")
+        discard(half)
+        tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        colours = 1
+        while colours * (colours + 1) // 2 < max(tasks, count // looked_up):
+            colours += 1
+        cells = range(colours * (colours + 1) // 2)
+        sent = (colours + 1) * count
+        rounds = max(1, min(len(cells), -(-sent // max(_SENT * count, sent_at_least))))
+        found = []
+        for k in range(rounds):
+            now = cells[len(cells) * k // rounds : len(cells) * (k + 1) // rounds]
+            parts = going.mapInArrow(_dealt(colours, now), _PARTS).repartitionById(len(now), F.col("cell") - now.start).sortWithinPartitions("cell", "side")
+            sums = parts.mapInArrow(_closed, "number int, n long")
+            found.append(sums if k == rounds - 1 else materialise(sums.groupBy("number").agg(F.sum("n").alias("n")), "found"))
+    everywhere = reduce(DataFrame.unionAll, found).groupBy("number").agg(F.sum("n").alias("triangles"))
+    return everywhere.join(numbered, "number").select("node", "triangles")
 
 
 def ranks(edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 100) -> tuple[DataFrame, int]:

@@ -3,6 +3,8 @@
 import collections
 import itertools
 import random
+import re
+import time
 
 from lakeloom.operators import graph as G
 
@@ -62,6 +64,46 @@ def test_triangles_in_many_cells(spark):
     assert text.count("MapInArrow") == 2 and "RepartitionByExpression" in text, text
 
 
+def test_triangles_in_rounds_leave_no_files(spark, monkeypatch):
+    """What a round sends is bounded by the edges, however many colours there are, and neither shuffles nor tables of edges
+    stay on disk."""
+    rows = [(a, b) for a, b in itertools.combinations(range(40), 2) if (a * b) % 7] + [(100 + k, k % 40) for k in range(60)]
+    near = collections.defaultdict(set)
+    for a, b in rows:
+        near[a].add(b)
+        near[b].add(a)
+    want = {x: sum(b in near[a] for a, b in itertools.combinations(near[x], 2)) for x in near}
+    want = {k: v for k, v in want.items() if v}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_", disk.getAllFiles().mkString(" ")))
+    tables, rounds, keep, deal = {}, [], G.materialise, G._dealt
+
+    def seen(df, name, **more):
+        tables[name] = keep(df, name, **more)
+        return tables[name]
+
+    monkeypatch.setattr(G, "materialise", seen)
+    monkeypatch.setattr(G, "_dealt", lambda *a: (rounds.append(a), deal(*a))[1])
+    before = shuffles()
+    found = G.triangles(edges(spark, rows), looked_up=8)
+    for _ in range(50):  # files go a little later
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(tables["edges"].inputFiles()[0])
+    assert not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    assert {x.node: x.triangles for x in found.collect()} == want
+
+    rounds.clear()
+    found = G.triangles(edges(spark, rows), looked_up=8, sent_at_least=1)
+    colours, cells = rounds[0][0], [x for _, now in rounds for x in now]
+    assert colours > 10 and cells == list(range(colours * (colours + 1) // 2))
+    assert len(rounds) >= (colours + 1) / 3 and max(len(now) for _, now in rounds) <= 3 * colours / 2 + 1
+    assert {x.node: x.triangles for x in found.collect()} == want
+
+
 def test_ranks_converge(spark):
     r = random.Random(3)
     rows = [(r.randrange(40), r.randrange(40), r.choice([1.0, 2.0])) for _ in range(150)] + [(50 + k, 1, 1.0) for k in range(60)] + [(1, 2, 0.0), (None, 1, 1.0), (3, 99, 5.0)]
